@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fileprune.llm import mixing, sharding
+from fileprune.llm import bpe, mixing, sharding, tokens
 from fileprune.llm.common import table
 
 
@@ -16,6 +17,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op9_mixing": op9_mixing}
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = tokens.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return tokens.read_documents(shards)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op6_tokens": op6_tokens, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 ORACLE_SQL = {"op9_mixing": mixing.ORACLE_SQL}
