@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fileprune.llm import bpe, mixing, sharding, tokens
+from fileprune.llm import bpe, mixing, sharding, simhash, tokens
 from fileprune.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_components(table(spark, sf_dir, "documents"), words=3, distance=3)
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = tokens.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return tokens.read_documents(shards)
@@ -26,6 +30,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op6_tokens": op6_tokens, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+QUERIES = {"op1_sharding": op1_sharding, "op4_simhash": op4_simhash, "op6_tokens": op6_tokens, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 ORACLE_SQL = {"op9_mixing": mixing.ORACLE_SQL}
