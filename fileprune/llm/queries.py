@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fileprune.llm import bpe, mixing, quality, sharding, simhash, tokens
+from fileprune.llm import bpe, mixing, nearest, quality, sharding, simhash, tokens
 from fileprune.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"), words=3, distance=3)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = tokens.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return tokens.read_documents(shards)
@@ -34,6 +38,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_simhash": op4_simhash, "op6_tokens": op6_tokens, "op8_quality": op8_quality, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+QUERIES = {"op1_sharding": op1_sharding, "op4_simhash": op4_simhash, "op5_nearest": op5_nearest, "op6_tokens": op6_tokens, "op8_quality": op8_quality, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
-ORACLE_SQL = {"op9_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op5_nearest": nearest.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
