@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fileprune.llm import bpe, mixing, nearest, quality, sharding, simhash, tokens
+from fileprune.llm import bpe, media, mixing, nearest, quality, sharding, simhash, tokens
 from fileprune.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store_documents(table(spark, sf_dir, "documents")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +42,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_simhash": op4_simhash, "op5_nearest": op5_nearest, "op6_tokens": op6_tokens, "op8_quality": op8_quality, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+QUERIES = {"op1_sharding": op1_sharding, "op4_simhash": op4_simhash, "op5_nearest": op5_nearest, "op6_tokens": op6_tokens, "op7_flac": op7_flac, "op8_quality": op8_quality, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 
 ORACLE_SQL = {"op5_nearest": nearest.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
