@@ -20,12 +20,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from fileprune.llm.words import Rows, WordIndex, spans
+
 #: A cut before a white-space run or a single leading space is always a border of the usual byte-level patterns.
 CHUNK = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Where no two white-space characters meet, every space is such a border.
 _MEETING = re.compile(r"\s\s")
 #: Entries that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -66,7 +68,7 @@ class PrefixEncoder:
         key = left << 32 | right
         known = self._neighbours.get(key)
         if known is None:
-            if len(self._neighbours) >= 4 * REMEMBERED:
+            if len(self._neighbours) >= REMEMBERED:
                 self._neighbours.clear()
             known = self._neighbours[key] = self._apart(left, right)
         return known
@@ -146,49 +148,70 @@ class ChunkMemory:
     """Encodings of chunks of text, learned as they come and remembered up to a bound.
 
     ``learn`` gives the packed ids of each of a list of chunks. Chunks are cut at borders of the pattern only, so their
-    encodings joined are that of the text.
+    encodings joined are that of the text. Where single spaces part the chunks, they are looked up as arrays.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int = REMEMBERED):
-        self.learn, self.most = learn, most
-        self._plain: dict[str, bytes] = {}  # by the chunk
-        self._spaced: dict[str, bytes] = {}  # by the chunk without the one space that it begins with
-
-    def _looked_up(self, memory: dict[str, bytes], keys: list[str], prefix: str) -> list[bytes]:
-        found = list(map(memory.get, keys))
-        missing = {k for k, v in zip(keys, found) if v is None}
-        if not missing:
-            return found
-        wanted = list(missing)
-        learned = dict(zip(wanted, self.learn([prefix + k for k in wanted])))
-        found = [learned[k] if v is None else v for k, v in zip(keys, found)]
-        if len(memory) + len(learned) > self.most:
-            memory.clear()
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], dtype: np.dtype, most: int = REMEMBERED):
+        self.learn, self.dtype, self.most = learn, np.dtype(dtype), most
+        self._odd: dict[str, bytes] = {}
+        self._index = WordIndex(most)
+        self._reset()
+
+    def _reset(self) -> None:
+        self._ids, self._start, self._count = Rows(self.dtype), Rows(np.int64), Rows(np.int64)
+        self._generation = self._index.generation
+
+    def _by_spaces(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts that aren't empty and in which no white space meets white space or an end."""
+        packed = [t.encode() for t in texts]
+        data = np.frombuffer(b" ".join(packed), np.uint8)
+        starts, ends = spans(data, data == 32)
+        sizes = np.array([len(p) + 1 for p in packed])
+        begins = np.searchsorted(starts, np.cumsum(sizes) - sizes)
+        plain = np.zeros(len(starts), bool)
+        plain[begins] = True  # a text's first chunk has no space before it
+        rows, new = self._index.rows(*self._index.hashes(data, starts, ends, plain))
+        if self._generation != self._index.generation:
+            self._reset()
+        if len(new):
+            whole = data.tobytes()
+            chunks = [("" if p else " ") + whole[a:b].decode() for a, b, p in zip(starts[new].tolist(), ends[new].tolist(), plain[new].tolist())]
+            learned = self.learn(chunks)
+            counts = np.array([len(x) for x in learned]) // self.dtype.itemsize
+            self._start.extend(self._ids.size + np.cumsum(counts) - counts)
+            self._count.extend(counts)
+            self._ids.extend(np.frombuffer(b"".join(learned), self.dtype))
+        counts = self._count.data[rows]
+        ends = np.cumsum(counts)
+        at = np.repeat(self._start.data[rows] - (ends - counts), counts)
+        at += np.arange(len(at))
+        ids = self._ids.data[at]
+        cuts = np.append(np.concatenate(([0], ends))[begins], len(ids)).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _by_pattern(self, text: str) -> np.ndarray:
+        chunks = CHUNK.findall(text)
+        missing = list(set(chunks) - self._odd.keys())
+        learned = dict(zip(missing, self.learn(missing)))
+        out = b"".join([learned[c] if c in learned else self._odd[c] for c in chunks])
+        if len(self._odd) + len(learned) > self.most:
+            self._odd.clear()
         if len(learned) <= self.most:
-            memory.update(learned)
-        return found
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        plain, spaced, bounds = [], [], []
-        for text in texts:
-            begins = len(plain), len(spaced)
-            if not text or _MEETING.search(text) or text[0].isspace() or text[-1].isspace():
-                plain += CHUNK.findall(text)
-            else:
-                first, *rest = text.split(" ")
-                plain.append(first)
-                spaced += rest
-            bounds.append((*begins, len(plain), len(spaced)))
-        plain, spaced = self._looked_up(self._plain, plain, ""), self._looked_up(self._spaced, spaced, " ")
-        return [b"".join(plain[a:c] + spaced[b:d]) for a, b, c, d in bounds]
+            self._odd.update(learned)
+        return np.frombuffer(out, self.dtype)
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        even = [i for i, t in enumerate(texts) if t and not (_MEETING.search(t) or t[0].isspace() or t[-1].isspace())]
+        out = dict(zip(even, self._by_spaces([texts[i] for i in even]))) if even else {}
+        return [out[i] if i in out else self._by_pattern(t) for i, t in enumerate(texts)]
 
 
 class PieceMemory:
     """Texts by chunks, chunks by the matches of ``pattern``; subclasses encode a match."""
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, dtype: str):
         self.pattern = regex.compile(pattern)
-        self.memory = ChunkMemory(self._learn)
+        self.memory = ChunkMemory(self._learn, dtype)
         self._pieces: dict[str, bytes] = {}
 
     def _learn_pieces(self, pieces: list[str]) -> None:
@@ -196,15 +219,15 @@ class PieceMemory:
         raise NotImplementedError
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
-        if len(self._pieces) > REMEMBERED:
+        if len(self._pieces) > REMEMBERED // 4:
             self._pieces.clear()
         pieces = list(map(self.pattern.findall, chunks))
         self._learn_pieces(sorted(set(chain.from_iterable(pieces)) - self._pieces.keys()))
         known = self._pieces
         return [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in pieces]
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed in little-endian order."""
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         return self.memory.encode_batch(texts)
 
 
@@ -212,7 +235,7 @@ class TextEncoder(PieceMemory):
     """Each match of the pattern by prefix dynamic programming; ids are unsigned 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__(pattern)
+        super().__init__(pattern, "<u4")
         self.encoder = PrefixEncoder(ranks)
 
     def _learn_pieces(self, pieces: list[str]) -> None:
@@ -244,7 +267,7 @@ def text_encoder(path: str, pattern: str) -> TextEncoder:
     return _encoders[path, pattern]
 
 
-def slices(column: pa.Array, most: int = 4_000_000, rows: int = 2_000) -> Iterator[tuple[int, list[str]]]:
+def slices(column: pa.Array, most: int = 1_000_000, rows: int = 2_000) -> Iterator[tuple[int, list[str]]]:
     """Texts of a column, null as empty, in runs of bounded length; a longer text comes alone."""
     begin, held, size = 0, [], 0
     for i, value in enumerate(column):
@@ -271,12 +294,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
         encoder = text_encoder(path, pattern)
         for batch in batches:
             for begin, texts in slices(batch.column(1)):
-                packed = encoder.encode_batch(texts)
-                ids = [np.frombuffer(p, "<u4") for p in packed]
+                ids = encoder.encode_batch(texts)
                 columns = {
                     "doc_id": batch.column(0).slice(begin, len(texts)),
                     "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
+                    "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
                     "decoded_sha256": pa.array([hashlib.sha256(encoder.encoder.decode(x.tolist())).hexdigest() for x in ids], pa.string()),
                 }
                 if keep_ids:

@@ -40,7 +40,6 @@ class LibraryEncoder(PieceMemory):
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__(PATTERN)
         kind = json.loads(Tokenizer.from_file(path).to_str())
         split = kind["pre_tokenizer"] or {}
         if kind["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
@@ -52,6 +51,7 @@ class LibraryEncoder(PieceMemory):
         self.tokenizer.no_truncation()
         self.width = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.width <= 16 else "<u4")
+        super().__init__(PATTERN, self.dtype)
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 5_000):
@@ -89,11 +89,11 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int
         from pyspark import TaskContext
 
         encoder = library_encoder(path)
-        end, part = np.array([end_id], encoder.dtype).tobytes(), TaskContext.get().partitionId()
+        end, part = np.array([end_id], encoder.dtype), TaskContext.get().partitionId()
         shard, held, docs_held, bounds, tokens = 0, [], [], [0], 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), encoder.dtype)
+            ids = np.concatenate(held)
             known = np.array([d is not None for d in docs_held], bool)
             names = np.array([0 if d is None else d for d in docs_held], np.int64)
             file = dump(ids, names, known, np.array(bounds, np.int64), encoder.width)
@@ -102,10 +102,10 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int
         for batch in batches:
             names = batch.column(0).to_pylist()
             for begin, texts in slices(batch.column(1)):
-                for name, packed in zip(names[begin : begin + len(texts)], encoder.encode_batch(texts)):
-                    held += (packed, end)
+                for name, ids in zip(names[begin : begin + len(texts)], encoder.encode_batch(texts)):
+                    held += (ids, end)
                     docs_held.append(name)
-                    tokens += len(packed) // encoder.dtype.itemsize + 1
+                    tokens += len(ids) + 1
                     bounds.append(tokens)
                     if tokens >= shard_tokens:
                         yield closed()
