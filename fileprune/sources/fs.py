@@ -87,11 +87,16 @@ class Files:
         while todo:
             status = todo.pop()
             if status.isDirectory():
-                todo += [s for s in fs.listStatus(status.getPath()) if not s.getPath().getName().startswith(("_", "."))]
+                todo += [s for s in fs.listStatus(status.getPath()) if not self._hidden(s.getPath().getName())]
             else:
-                found.append((canonical(status.getPath().toUri().toString() if status.getPath().toUri().getRawPath() is None else self._encoded(status.getPath())), status.getLen()))
+                found.append((canonical(self._encoded(status.getPath())), status.getLen()))
         return sorted(found) or [(canonical(self._encoded(fs.makeQualified(p))), 0)]
 
+    @staticmethod
+    def _hidden(name: str) -> bool:
+        """As Spark has it: partition folders may begin with an underscore."""
+        return name.startswith(".") or name.startswith("_") and "=" not in name
+
     def _encoded(self, path) -> str:
         uri = path.toUri()
         scheme, authority = uri.getScheme(), uri.getRawAuthority()
