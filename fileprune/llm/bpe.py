@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from fileprune.llm.words import Rows, WordIndex, spans
+from fileprune.llm.words import BY_SPACES, Rows, WordIndex, spans
 
 #: A cut before a white-space run or a single leading space is always a border of the usual byte-level patterns.
 CHUNK = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -170,13 +170,16 @@ class ChunkMemory:
         begins = np.searchsorted(starts, np.cumsum(sizes) - sizes)
         plain = np.zeros(len(starts), bool)
         plain[begins] = True  # a text's first chunk has no space before it
-        rows, new = self._index.rows(*self._index.hashes(data, starts, ends, plain))
+        rows, new = self._index.rows(*self._index.hashes(data, starts, BY_SPACES, plain))
         if self._generation != self._index.generation:
             self._reset()
         if len(new):
             whole = data.tobytes()
             chunks = [("" if p else " ") + whole[a:b].decode() for a, b, p in zip(starts[new].tolist(), ends[new].tolist(), plain[new].tolist())]
-            learned = self.learn(chunks)
+            learned = self.learn([c for c in chunks if c[0] == " "])
+            if plain[new].any():
+                rest, learned = iter(learned), dict(zip((first := [c for c in chunks if c[0] != " "]), self.learn(first)))
+                learned = [next(rest) if c[0] == " " else learned[c] for c in chunks]
             counts = np.array([len(x) for x in learned]) // self.dtype.itemsize
             self._start.extend(self._ids.size + np.cumsum(counts) - counts)
             self._count.extend(counts)
@@ -221,10 +224,22 @@ class PieceMemory:
     def _learn(self, chunks: list[str]) -> list[bytes]:
         if len(self._pieces) > REMEMBERED // 4:
             self._pieces.clear()
-        pieces = list(map(self.pattern.findall, chunks))
-        self._learn_pieces(sorted(set(chain.from_iterable(pieces)) - self._pieces.keys()))
-        known = self._pieces
-        return [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in pieces]
+        pieces, ends = self._cut(chunks)
+        self._learn_pieces(sorted(set(pieces) - self._pieces.keys()))
+        packed = list(map(self._pieces.__getitem__, pieces))
+        return [packed[a] if b - a == 1 else b"".join(packed[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def _cut(self, chunks: list[str]) -> tuple[list[str], list[int]]:
+        """The matches of all chunks, and for each chunk the number of matches up to its end.
+
+        Chunks that begin with their only leading space, and end without white space, are cut as one text: a match never
+        reaches over such a border.
+        """
+        if all(len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in chunks):
+            pieces = self.pattern.findall("".join(chunks))
+            return pieces, (np.searchsorted(np.cumsum(list(map(len, pieces))), np.cumsum(list(map(len, chunks)))) + 1).tolist()
+        apart = list(map(self.pattern.findall, chunks))
+        return list(chain.from_iterable(apart)), np.cumsum(list(map(len, apart))).tolist()
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""

@@ -53,12 +53,18 @@ class LibraryEncoder(PieceMemory):
         self.dtype = np.dtype("<u2" if self.width <= 16 else "<u4")
         super().__init__(PATTERN, self.dtype)
 
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self._bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self._bytes[i] = len(token)  # a character of a token stands for one byte
+
     def _learn_pieces(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 5_000):
             run = pieces[i : i + 5_000]
-            encoding = self.tokenizer.encode(run, is_pretokenized=True, add_special_tokens=False)
-            packed, size = np.array(encoding.ids, self.dtype).tobytes(), self.dtype.itemsize
-            ends = np.searchsorted(np.array(encoding.word_ids), np.arange(len(run)), side="right").tolist()
+            (encoding,) = self.tokenizer.encode_batch_fast([run], is_pretokenized=True, add_special_tokens=False)
+            ids, size = np.array(encoding.ids, self.dtype), self.dtype.itemsize
+            lengths = np.cumsum([len(p.encode()) for p in run])
+            packed, ends = ids.tobytes(), (np.searchsorted(np.cumsum(self._bytes[ids]), lengths) + 1).tolist()
             begin = 0
             for piece, end in zip(run, ends):
                 self._pieces[piece] = packed[begin * size : end * size]

@@ -10,6 +10,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+#: Byte values for the hashes: of texts cut at spaces, and of texts cut at any ASCII white space.
+BY_SPACES, BY_WHITE_SPACE = (np.where(gap, 0, np.arange(1, 257)).astype(np.uint64) for gap in (np.arange(256) == 32, _SPACE))
+
+
 def _powers(multiplier: int, count: int) -> np.ndarray:
     out = np.full(count, multiplier, np.uint64)
     out[:1] = 1
@@ -44,14 +48,17 @@ class WordIndex:
         self.one, self.two, self.row = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         self.count, self.generation = 0, self.generation + 1
 
-    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, variant: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Two polynomial hashes of each span; spans don't touch. Spans of another ``variant`` count as other words."""
+    def hashes(self, data: np.ndarray, starts: np.ndarray, weights: np.ndarray, variant: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Two polynomial hashes of each word. ``weights``: a value for each byte, 0 for separators; words end at these.
+
+        Words of another ``variant`` count as other words.
+        """
         if not len(starts):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        sizes = ends - starts
-        at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        values = data[at + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)
-        begins, longest = np.cumsum(sizes) - sizes, int(sizes.max())
+        first = int(starts[0])
+        sizes = np.diff(starts, append=len(data))
+        at = np.arange(first, len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+        values, begins, longest = weights[data[first:]], starts - first, int(sizes.max())
         with np.errstate(over="ignore"):
             one = np.add.reduceat(values * _powers(_M1, longest)[at], begins)
             two = np.add.reduceat(values * _powers(_M2, longest)[at], begins)
