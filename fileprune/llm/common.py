@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Words, as every operator here counts them: runs of anything but ASCII white space.
@@ -43,6 +43,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Within, jobs hand at most so many rows to Python at a time: for tables with long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch tables. Call it when no result that reads them is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/fileprune-scratch")
@@ -117,6 +129,3 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, hel
     )
     return [(r["_text"], int(r["_y"])) for r in sorted(rows, key=lambda r: r["_id"])]
 
-
-def schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
