@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from fileprune.llm.bpe import slices
 from fileprune.llm.common import fold, label_sample, unused
-from fileprune.llm.words import Rows, WordIndex, word_spans
+from fileprune.llm.words import BY_WHITE_SPACE, Rows, WordIndex, word_spans
 
 #: Labelled rows that training takes at most, in the order of a hash of their doc_id.
-TRAINING_ROWS = 4_000
+TRAINING_ROWS = 3_000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 WINDOW, STRIDE = 64, 32
@@ -32,7 +32,7 @@ STEPS, BATCH, WINDOWS_SEEN = 400, 24, 5
 #: Documents that must share a word or n-gram for it to be trained, and how much faster than the rest those vectors learn.
 DOCUMENTS_SEEN, EMBEDDING_RATE = 6, 20.0
 #: Words whose projections a worker remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Windows that are scored together.
 TOGETHER = 4_096
 
@@ -199,10 +199,9 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 2) -> Tox
         model.dense["o"][:] = 0
         model.dense["bias"][:] = -4.0 if len(groups[0]) else 4.0 if len(groups[1]) else -4.0
         return model
-    index = WordIndex(max(16, len(starts)))
-    one, two = index.hashes(data, starts, ends)
-    row, new = index.rows(one, two)
-    vocabulary = (starts[new], ends[new], one[new])
+    one = _hashed(data, starts)
+    one, place, row = np.unique(one, return_index=True, return_inverse=True)
+    vocabulary = (starts[place], ends[place], one)
     common = _shared_buckets(row, np.repeat(np.arange(len(counts)), counts), vocabulary, data)
     moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in model.dense.items()}
     sums = [np.full(len(x), 1e-3, np.float32) for x in (model.words, model.grams)]
@@ -248,6 +247,16 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 2) -> Tox
     return model
 
 
+def _hashed(data: np.ndarray, starts: np.ndarray, together: int = 100_000) -> np.ndarray:
+    """First hashes of all words, some at a time."""
+    index, out = WordIndex(16), []
+    for i in range(0, len(starts), together):
+        part = starts[i : i + together]
+        stop = starts[i + together] if i + together < len(starts) else len(data)
+        out.append(index.hashes(data[part[0] : stop], part - part[0], BY_WHITE_SPACE)[0])
+    return np.concatenate(out)
+
+
 def _shared_buckets(row: np.ndarray, doc: np.ndarray, vocabulary, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word and n-gram buckets that DOCUMENTS_SEEN documents or more have: only these are trained, so that no document is known by its own words."""
     starts, ends, one = vocabulary
@@ -269,9 +278,9 @@ class Scorer:
         self.table, self.generation = Rows(np.float32, (6 * HIDDEN,)), self.index.generation
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Probability of label 1 for each whole text; that of the output's bias for texts without words."""
+        """Probability of label 1 for each whole text; next to 0 for texts without words, in which nothing is toxic."""
         data, starts, ends, counts = text_words(texts)
-        one, two = self.index.hashes(data, starts, ends)
+        one, two = self.index.hashes(data, starts, BY_WHITE_SPACE)
         row, new = self.index.rows(one, two)
         if self.generation != self.index.generation:
             self.table, self.generation = Rows(np.float32, (6 * HIDDEN,)), self.index.generation
@@ -292,7 +301,6 @@ class Scorer:
                 longest = int(length[part].max())
                 at = row[np.minimum(begin[part, None] + np.arange(longest), len(row) - 1)]
                 np.maximum.at(best, owner[part], self.model.logits(table, at, length[part]))
-        best[np.isneginf(best)] = self.model.dense["bias"][0]
         return 1 / (1 + np.exp(-np.clip(best, -35, 35)))
 
 
@@ -325,7 +333,7 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Tox
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``.
 
-    Null, empty and white-space texts get the score of the output's bias; a null doc_id is in fold 0, so held out;
+    Null, empty and white-space texts score next to 0; a null doc_id is in fold 0, so held out;
     repeated rows get equal scores. Without labels of both kinds the scores are those of the kind there is, or low.
     Nothing but the text is an input of a score.
     """
