@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fileprune.llm.bpe import slices
-from fileprune.llm.common import unused, written
+from fileprune.llm.common import batch_rows, unused, written
 from fileprune.llm.graph import components
 
 #: Fixed value: the seed of the shingles' hash.
@@ -282,7 +282,8 @@ def near_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
                 )
 
     named = docs.select(_text_key(F.col("text")).alias("node"), F.col("text"))
-    sketches = written(named.mapInArrow(sketch, out).dropDuplicates(["node"]), "sketches")
+    with batch_rows(docs.sparkSession, 1000):
+        sketches = written(named.mapInArrow(sketch, out).dropDuplicates(["node"]), "sketches")
     keyed = sketches.select(F.explode("keys").alias("key"), "node", "fp", "size")
 
     def close(x: Column, y: Column) -> Column:
@@ -303,7 +304,8 @@ def near_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
             keep = [jaccard(x.as_py() or "", y.as_py() or "", words) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(verify, "u string, v string")
+    with batch_rows(docs.sparkSession, 100):
+        return written(both.mapInArrow(verify, "u string, v string"), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
