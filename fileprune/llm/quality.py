@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fileprune.llm.bpe import slices
 from fileprune.llm.common import fold, label_sample
+from fileprune.llm.words import BY_WHITE_SPACE, Rows, WordIndex, word_spans
 
 #: Labelled rows that training takes at most, in the order of a hash of their doc_id.
 TRAINING_ROWS = 3_000
@@ -51,34 +52,26 @@ def shape(word: str) -> str:
 
 
 class WordTable:
-    """64-bit hashes of the surfaces and shapes of words, remembered up to a bound."""
+    """64-bit hashes of the surfaces and shapes of words; shapes are remembered up to a bound."""
 
     def __init__(self):
-        self._rows: dict[str, int] = {}
-        self._surface, self._shape = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-
-    def hashes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rows = list(map(self._rows.get, words))
-        missing = list({w for w, r in zip(words, rows) if r is None})
-        if missing:
-            if len(self._rows) + len(missing) > REMEMBERED and self._rows:
-                self.__init__()
-                return self.hashes(words)
-            digest = xxhash.xxh64_intdigest
-            shapes = {}
-            for w in missing:
-                s = shape(w)
-                if s not in shapes:
-                    shapes[s] = digest(s, 2)
-                shapes[w, 0] = shapes[s]
-            base = len(self._rows)
-            self._rows.update((w, base + i) for i, w in enumerate(missing))
-            self._surface = np.concatenate((self._surface, np.array([digest(w, 1) for w in missing], np.uint64)))
-            self._shape = np.concatenate((self._shape, np.array([shapes[w, 0] for w in missing], np.uint64)))
-            known = self._rows
-            rows = [known[w] if r is None else r for w, r in zip(words, rows)]
-        at = np.array(rows, np.int64)
-        return self._surface[at], self._shape[at]
+        self._index = WordIndex(REMEMBERED)
+        self._shapes, self._generation = Rows(np.uint64), 0
+
+    def lookup(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Surfaces, shapes and texts of all words."""
+        packed = [t.encode() for t in texts]
+        whole = b" ".join(packed)
+        data = np.frombuffer(whole, np.uint8)
+        starts, ends = word_spans(data)
+        counts = np.diff(np.searchsorted(starts, np.cumsum([len(p) + 1 for p in packed])), prepend=0)
+        one, two = self._index.hashes(data, starts, BY_WHITE_SPACE)
+        row, new = self._index.rows(one, two)
+        if self._generation != self._index.generation:
+            self._shapes, self._generation = Rows(np.uint64), self._index.generation
+        digest = xxhash.xxh64_intdigest
+        self._shapes.extend(np.array([digest(shape(whole[a:b].decode()), 2) for a, b in zip(starts[new].tolist(), ends[new].tolist())], np.uint64))
+        return one, self._shapes.data[row], np.repeat(np.arange(len(texts)), counts)
 
 
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
@@ -95,12 +88,9 @@ def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def buckets(table: WordTable, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each kind of feature: the bucket of each occurrence, and its text. All texts at once."""
-    split = [t.split() for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
-    words = [w for s in split for w in s]
-    if not words:
+    surface, form, owner = table.lookup(texts)
+    if not len(owner):
         return
-    surface, form = table.hashes(words)
     two = owner[1:] == owner[:-1]
     three = two[1:] & two[:-1]
     yield _bucket(surface, 1), owner
