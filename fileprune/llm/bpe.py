@@ -20,14 +20,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from fileprune.llm.words import BY_SPACES, Rows, WordIndex, spans
+from fileprune.llm.words import BY_SPACES, Rows, WordIndex, only_here
 
 #: A cut before a white-space run or a single leading space is always a border of the usual byte-level patterns.
 CHUNK = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Where no two white-space characters meet, every space is such a border.
 _MEETING = re.compile(r"\s\s")
 #: Entries that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -68,7 +68,7 @@ class PrefixEncoder:
         key = left << 32 | right
         known = self._neighbours.get(key)
         if known is None:
-            if len(self._neighbours) >= REMEMBERED:
+            if len(self._neighbours) >= REMEMBERED // 3:
                 self._neighbours.clear()
             known = self._neighbours[key] = self._apart(left, right)
         return known
@@ -144,6 +144,10 @@ class PrefixEncoding:
         return self.encoder.read(self.data, self.last, end)
 
 
+#: Byte classes: 1 ASCII letters and digits, 2 ASCII marks but the apostrophe, 3 the space, 4 other ASCII white space, 0 the rest.
+_CLASS = np.array([3 if i == 32 else 4 if 9 <= i <= 13 else 1 if chr(i).isalnum() else 2 if chr(i).isprintable() and i != 39 else 0 for i in range(128)] + [0] * 128, np.uint8)
+
+
 class ChunkMemory:
     """Encodings of chunks of text, learned as they come and remembered up to a bound.
 
@@ -164,17 +168,23 @@ class ChunkMemory:
     def _by_spaces(self, texts: list[str]) -> list[np.ndarray]:
         """Texts that aren't empty and in which no white space meets white space or an end."""
         packed = [t.encode() for t in texts]
-        data = np.frombuffer(b" ".join(packed), np.uint8)
-        starts, ends = spans(data, data == 32)
+        whole = b" ".join(packed)
+        data = np.frombuffer(whole, np.uint8)
+        kind = _CLASS[data]
+        before = np.concatenate(([np.uint8(3)], kind[:-1]))
+        # after a space, around other single white space, and from a letter or digit to a mark: always borders
+        starts = np.flatnonzero((kind != 3) & ((before >= 3) | (kind == 4) | (before == 1) & (kind == 2)))
         sizes = np.array([len(p) + 1 for p in packed])
-        begins = np.searchsorted(starts, np.cumsum(sizes) - sizes)
-        plain = np.zeros(len(starts), bool)
-        plain[begins] = True  # a text's first chunk has no space before it
+        texts_at = np.cumsum(sizes) - sizes
+        begins = np.searchsorted(starts, texts_at)
+        plain = before[starts] != 3  # no space before it
+        plain[begins] = True
+        ends = np.append(starts[1:], len(data))
+        ends = ends - (data[np.maximum(ends - 1, 0)] == 32)
         rows, new = self._index.rows(*self._index.hashes(data, starts, BY_SPACES, plain))
         if self._generation != self._index.generation:
             self._reset()
         if len(new):
-            whole = data.tobytes()
             chunks = [("" if p else " ") + whole[a:b].decode() for a, b, p in zip(starts[new].tolist(), ends[new].tolist(), plain[new].tolist())]
             learned = self.learn([c for c in chunks if c[0] == " "])
             if plain[new].any():
@@ -218,14 +228,14 @@ class PieceMemory:
         self._pieces: dict[str, bytes] = {}
 
     def _learn_pieces(self, pieces: list[str]) -> None:
-        """Put the packed ids of new pieces, sorted, into ``_pieces``."""
+        """Put the packed ids of new pieces into ``_pieces``."""
         raise NotImplementedError
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
         if len(self._pieces) > REMEMBERED // 4:
             self._pieces.clear()
         pieces, ends = self._cut(chunks)
-        self._learn_pieces(sorted(set(pieces) - self._pieces.keys()))
+        self._learn_pieces(list(set(pieces) - self._pieces.keys()))
         packed = list(map(self._pieces.__getitem__, pieces))
         return [packed[a] if b - a == 1 else b"".join(packed[a:b]) for a, b in zip([0, *ends], ends)]
 
@@ -256,7 +266,7 @@ class TextEncoder(PieceMemory):
     def _learn_pieces(self, pieces: list[str]) -> None:
         """In order, so that each piece goes on from the prefix that it shares with the one before."""
         encoder, previous, last = self.encoder, b"", []
-        for piece in pieces:
+        for piece in sorted(pieces):
             data = piece.encode()
             whole = encoder.ranks.get(data)
             if whole is not None:
@@ -306,6 +316,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_here("bpe", _encoders.clear)
         encoder = text_encoder(path, pattern)
         for batch in batches:
             for begin, texts in slices(batch.column(1)):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fileprune.llm.bpe import slices
 from fileprune.llm.common import fold, label_sample
-from fileprune.llm.words import BY_WHITE_SPACE, Rows, WordIndex, word_spans
+from fileprune.llm.words import BY_WHITE_SPACE, Rows, WordIndex, only_here, word_spans
 
 #: Labelled rows that training takes at most, in the order of a hash of their doc_id.
 TRAINING_ROWS = 3_000
@@ -154,6 +154,7 @@ def score(docs: DataFrame, model: QualityModel, columns: tuple[str, ...] = ("doc
     schema = docs.select(*(F.col(f"`{c}`") for c in columns)).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_here("quality", _tables.clear)
         if not _tables:
             _tables.append(WordTable())
         for batch in batches:

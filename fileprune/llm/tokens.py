@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from fileprune.llm.bpe import PieceMemory, slices
 from fileprune.llm.common import written
+from fileprune.llm.words import only_here
 from fileprune.llm.wavelet import ShardFile, dump
 
 #: A shard is closed once it holds so many tokens.
@@ -94,6 +95,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        only_here("tokens", _encoders.clear)
         encoder = library_encoder(path)
         end, part = np.array([end_id], encoder.dtype), TaskContext.get().partitionId()
         shard, held, docs_held, bounds, tokens = 0, [], [], [0], 0

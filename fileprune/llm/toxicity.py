@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fileprune.llm.bpe import slices
 from fileprune.llm.common import fold, label_sample, unused
-from fileprune.llm.words import BY_WHITE_SPACE, Rows, WordIndex, word_spans
+from fileprune.llm.words import BY_WHITE_SPACE, Rows, WordIndex, only_here, word_spans
 
 #: Labelled rows that training takes at most, in the order of a hash of their doc_id.
 TRAINING_ROWS = 3_000
@@ -314,6 +314,7 @@ def score(docs: DataFrame, model: ToxicityModel, columns: tuple[str, ...], name:
     schema = kept.schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_here("toxicity", _scorers.clear)
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(shared.value)

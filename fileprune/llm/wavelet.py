@@ -38,7 +38,10 @@ class WaveletMatrix:
             planes.append(packed)
             samples.append(_samples(packed))
             zeros.append(len(row) - int(np.count_nonzero(bit)))
-            row = np.concatenate((np.compress(~bit, row), np.compress(bit, row)))
+            after = np.empty_like(row)
+            np.compress(~bit, row, out=after[: zeros[-1]])
+            np.compress(bit, row, out=after[zeros[-1] :])
+            row = after
         return cls(len(ids), planes, zeros, samples)
 
     @property

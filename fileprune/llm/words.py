@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 #: Odd multipliers of the two hashes that a word is known by.
@@ -31,6 +33,17 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return spans(data, _SPACE[data])
 
 
+_holding: list[tuple[str, Callable[[], None]]] = []
+
+
+def only_here(name: str, clear: Callable[[], None]) -> None:
+    """A worker process keeps what one operator remembers: another's is cleared when this one begins."""
+    if _holding and _holding[0][0] != name:
+        _holding.pop()[1]()
+    if not _holding:
+        _holding.append((name, clear))
+
+
 class WordIndex:
     """An open-addressing table from two 64-bit hashes to a row number.
 
