@@ -102,7 +102,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str, rank: str) -> Dat
         .select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
     )
     spread = starts.withColumnRenamed("_part", part_name := unused(df, "_part_no")).withColumnRenamed("_start", start := unused(df, "_start_no"))
-    joined = kept.withColumn(part_name, F.shiftright(F.col(mark), _ROW_BITS)).join(spread, part_name)
+    # one row for each partition that was written, so never more than there are tasks
+    joined = kept.withColumn(part_name, F.shiftright(F.col(mark), _ROW_BITS)).join(F.broadcast(spread), part_name)
     return joined.withColumn(rank, F.col(start) + F.col(mark).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).drop(part_name, start, mark)
 
 

@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fileprune.llm.common import global_rank, unused, word_count
+from fileprune.llm.common import global_rank, unused, word_count, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: No target exceeds so many times its source's size, so no document is taken more often.
 MOST = 3
 DRAWS, SEED = 32, 9
+#: The plan, a row of some 60 bytes for each source, is broadcast up to so many sources; beyond, it is joined by its key.
+BROADCAST_SOURCES = 50_000
 
 
 def offsets(draws: int = DRAWS, seed: int = SEED) -> list[float]:
@@ -83,11 +85,14 @@ def mix(docs: DataFrame, size=None, weights=WEIGHTS, most: float = MOST, draws:
     ranked = global_rank(keyed, [F.col(key).asc(), F.col(names["size"]).asc(), F.col("doc_id").asc_nulls_first()], "mixing", rank)
     sizes = ranked.groupBy(F.col(key).alias("key")).agg(F.sum(names["size"]).alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = source_targets(sizes, weights, most, total_share).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    plan = written(plan, "mixing-plan")
+    small = plan.count() <= BROADCAST_SOURCES
+    sent = (lambda x: F.broadcast(x)) if small else (lambda x: x)
     drawn = offsets(draws, seed)
     narrow = ranked.select(F.col(key).alias("key"), F.col(names["size"]).alias("_words"), F.col(rank).alias("_at"))
     at = F.col("_at") - F.col("first")
     trial = (
-        narrow.join(plan.select("key", "first", "rate", "target"), "key")
+        narrow.join(sent(plan.select("key", "first", "rate", "target")), "key")
         .groupBy("key", "target")
         .agg(*(F.sum(_crossed(at, F.col("rate"), F.lit(u)) * F.col("_words")).alias(f"_t{i}") for i, u in enumerate(drawn)))
     )
@@ -97,7 +102,7 @@ def mix(docs: DataFrame, size=None, weights=WEIGHTS, most: float = MOST, draws:
         F.col("key").alias(key), F.col("first").alias(f := unused(keyed, "_first")), F.col("rate").alias(r := unused(keyed, "_rate")), F.col("offset").alias(o := unused(keyed, "_offset")),
         F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]),
     )
-    out = ranked.join(plan, key).withColumn(names["copies"], _crossed(F.col(rank) - F.col(f), F.col(r), F.col(o)))
+    out = ranked.join(sent(plan), key).withColumn(names["copies"], _crossed(F.col(rank) - F.col(f), F.col(r), F.col(o)))
     return out.drop(key, rank, f, r, o), names
 
 
