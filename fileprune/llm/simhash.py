@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the least doc_id (nulls last, then by text).
 
-    Texts without words are copies of each other only if they are equal. Of rows equal in doc_id and text one stays.
+    Texts without words are copies of each other. Of rows equal in doc_id and text one stays.
     Columns are kept whatever their names.
     """
     columns = docs.columns
