@@ -62,7 +62,7 @@ class FileIndex:
         self.files, self.tables = Files(spark), build.IndexTables(spark, self.path)
         self.file_list = FileList(spark, file_list_name(name))
         self.selected: list[str] | None = None
-        self.last_report: PruneReport | None = None
+        self._last_files: set[str] | None = None
         self._meta = self._opened(schema, format, read_options or {}, allow_schema_mismatch)
 
     # --- definition -------------------------------------------------------------------------------------------------
@@ -318,14 +318,20 @@ class FileIndex:
         """The names themselves: as many as the scan that follows will read."""
         return {r["filename"] for r in self.locate(wanted).distinct().collect()}
 
-    def _reported(self, files: set[str]) -> set[str]:
+    @property
+    def last_report(self) -> PruneReport | None:
+        """What the last join or scan read, of what there is; counted when it is asked for."""
         stats = self.tables.stats().read()
-        if stats is not None:
-            named = self.spark.createDataFrame([(f,) for f in files], "filename string")
-            hit = stats.join(named, "filename", "left_semi").agg(F.sum("file_size")).first()[0] or 0
-            every = stats.agg(F.count(F.lit(1)), F.sum("file_size")).first()
-            self.last_report = PruneReport(len(files), every[0], int(hit), int(every[1] or 0))
-            log.info("%s: %d of %d files, %.1f %% saved", self.name, len(files), every[0], self.last_report.saved_percent)
+        if self._last_files is None or stats is None:
+            return None
+        named = self.spark.createDataFrame([(f, True) for f in self._last_files], "filename string, read boolean")
+        r = stats.join(named, "filename", "left").agg(F.count("read"), F.count(F.lit(1)), F.sum(F.when(F.col("read"), F.col("file_size"))), F.sum("file_size")).first()
+        return PruneReport(r[0], r[1], int(r[2] or 0), int(r[3] or 0))
+
+    def _reported(self, files: set[str]) -> set[str]:
+        self._last_files = files
+        if setting(self.spark, "debug"):
+            log.info("%s: %s", self.name, self.last_report)
         return files
 
     def _pruned(self, df: DataFrame, using: list[str], scope: str, explode: str) -> DataFrame:
