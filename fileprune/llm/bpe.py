@@ -27,7 +27,7 @@ CHUNK = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Where no two white-space characters meet, every space is such a border.
 _MEETING = re.compile(r"\s\s")
 #: Entries that a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -68,7 +68,7 @@ class PrefixEncoder:
         key = left << 32 | right
         known = self._neighbours.get(key)
         if known is None:
-            if len(self._neighbours) >= REMEMBERED // 3:
+            if len(self._neighbours) >= REMEMBERED // 2:
                 self._neighbours.clear()
             known = self._neighbours[key] = self._apart(left, right)
         return known
@@ -222,9 +222,9 @@ class ChunkMemory:
 class PieceMemory:
     """Texts by chunks, chunks by the matches of ``pattern``; subclasses encode a match."""
 
-    def __init__(self, pattern: str, dtype: str):
+    def __init__(self, pattern: str, dtype: str, most: int = REMEMBERED):
         self.pattern = regex.compile(pattern)
-        self.memory = ChunkMemory(self._learn, dtype)
+        self.memory = ChunkMemory(self._learn, dtype, most)
         self._pieces: dict[str, bytes] = {}
 
     def _learn_pieces(self, pieces: list[str]) -> None:
@@ -232,7 +232,7 @@ class PieceMemory:
         raise NotImplementedError
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
-        if len(self._pieces) > REMEMBERED // 4:
+        if len(self._pieces) > self.memory.most // 4:
             self._pieces.clear()
         pieces, ends = self._cut(chunks)
         self._learn_pieces(list(set(pieces) - self._pieces.keys()))

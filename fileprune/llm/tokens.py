@@ -24,6 +24,8 @@ from fileprune.llm.wavelet import ShardFile, dump
 
 #: A shard is closed once it holds so many tokens.
 SHARD_TOKENS = 1 << 21
+#: Chunks that a worker remembers: the library takes long over new ones.
+LIBRARY_REMEMBERED = 1_500_000
 SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, file binary"
 
 
@@ -52,7 +54,7 @@ class LibraryEncoder(PieceMemory):
         self.tokenizer.no_truncation()
         self.width = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.width <= 16 else "<u4")
-        super().__init__(PATTERN, self.dtype)
+        super().__init__(PATTERN, self.dtype, LIBRARY_REMEMBERED)
 
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self._bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)

@@ -34,7 +34,7 @@ DOCUMENTS_SEEN, EMBEDDING_RATE = 6, 20.0
 #: Words whose projections a worker remembers before it starts anew.
 REMEMBERED = 150_000
 #: Windows that are scored together.
-TOGETHER = 4_096
+TOGETHER = 2_048
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:

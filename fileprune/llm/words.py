@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 #: Odd multipliers of the two hashes that a word is known by.
 _M1, _M2, _SPREAD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
@@ -40,6 +42,8 @@ def only_here(name: str, clear: Callable[[], None]) -> None:
     """A worker process keeps what one operator remembers: another's is cleared when this one begins."""
     if _holding and _holding[0][0] != name:
         _holding.pop()[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     if not _holding:
         _holding.append((name, clear))
 
