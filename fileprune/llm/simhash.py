@@ -11,8 +11,10 @@ of a class without a difference. Of sets with many classes the first BLOCKS are
 chance below 1 in 100,000 (a class has 2 to 4 shingles). Pairs that share a block are compared by the Hamming distance
 of their 64-bit fingerprints, and those near enough by their shingles.
 
-Keys that many rows share are cut into tiles of a bounded number of rows. A tile gives the edges of a forest and not all
-its pairs; equal texts are one row from the start.
+Keys that many rows share are cut into tiles of a bounded number of rows. A tile of fingerprints gives the edges of a
+forest and not all its pairs. A tile of near-duplicates gives each row's nearest partners and a shortest forest first; as
+long as it has more pairs of rows that no verified link has connected, it gives the next ones, so that in the end each
+pair is connected or refuted. Equal texts are one row from the start.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ TILE = 1024
 NARROW_BLOCKS = 6
 #: Most blocks of a wide fingerprint, and the Hamming distance up to which a pair's shingles are compared.
 BLOCKS, WIDE_DISTANCE = 24, 20
-#: Nearest partners that a row of a tile names besides the tile's shortest forest.
+#: Nearest partners that a row of a tile names at first besides the tile's shortest forest; then 8 times as many in each round.
 NEAREST = 8
 
 
@@ -120,34 +122,37 @@ def spanning(distances: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return edges
 
 
-def nearest_edges(distances: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """A shortest forest of the graph of pairs within ``limit``, and each row's NEAREST partners there."""
-    size = len(distances)
-    far = np.where(distances <= limit, distances, 255).astype(np.uint8)
-    np.fill_diagonal(far, 255)
-    edges = set()
+def nearest_edges(far: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of a tile's pairs with a distance in ``far`` (255: no pair), a shortest forest and each row's nearest partners; whether pairs are left over."""
+    size = len(far)
+    many = (far < 255).sum(axis=1)
+    if not many.any():
+        return np.zeros(0, int), np.zeros(0, int), False
+    if many.max() <= nearest:
+        return *np.nonzero(np.triu(far < 255)), False
+    edges = []
     best, parent, out = far[0].copy(), np.zeros(size, int), np.ones(size, bool)
-    out[0], best[0] = False, 255
+    out[0] = False
     for _ in range(size - 1):
         node = int(np.argmin(np.where(out, best, 255)))
         if not out[node] or best[node] == 255:  # a new tree
             node = int(np.argmax(out))
         else:
-            edges.add((min(node, int(parent[node])), max(node, int(parent[node]))))
+            edges.append(min(node, int(parent[node])) * size + max(node, int(parent[node])))
         out[node] = False
         closer = far[node] < best
         best[closer], parent[closer] = far[node][closer], node
-    if size > NEAREST:
-        close = np.argpartition(far, NEAREST, axis=1)[:, :NEAREST]
-    else:
-        close = np.tile(np.arange(size), (size, 1))
-    for row, columns in enumerate(close):
-        edges.update((min(row, c), max(row, c)) for c in columns[far[row, columns] < 255].tolist())
-    return sorted(edges)
+    close = np.argpartition(far, nearest, axis=1)[:, :nearest]
+    rows = np.repeat(np.arange(size), nearest)
+    columns = close.ravel()
+    there = far[rows, columns] < 255
+    rows, columns = rows[there], columns[there]
+    codes = np.unique(np.concatenate((np.array(edges, int), np.minimum(rows, columns) * size + np.maximum(rows, columns))))
+    return codes // size, codes % size, True
 
 
-def _tile_links(members: DataFrame, node_type: str, edges_of: Callable[[np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
-    """(u, v) from the tiles of ``members`` (key, n, node, fp, size).
+def _tiles(members: DataFrame, node_type: str, columns: list[str], edges_of: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray, bool]]) -> DataFrame:
+    """(u, v, key) from the tiles of ``members`` (key, n, node and ``columns``): pairs without a key, and keys alone of which a tile left pairs over.
 
     A key with at most TILE rows is one tile. Else its rows are dealt to slots by a hash, and each pair of slots is a
     tile, so that any two rows of a key meet in one.
@@ -158,24 +163,35 @@ def _tile_links(members: DataFrame, node_type: str, edges_of: Callable[[np.ndarr
         members.withColumn("_slots", slots)
         .withColumn("_own", own)
         .withColumn("_other", F.explode(F.when(F.col("_slots") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_slots") - 1), lambda x: x != F.col("_own")))))
-        .select("key", F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"), "node", "fp", "size")
+        .select("key", F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"), "node", *columns)
         .repartition("key", "a", "b")
         .sortWithinPartitions("key", "a", "b")
     )
+    kind = pa.int64() if node_type == "long" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
 
-        def links(rows: pa.Table, bounds: list[int]) -> pa.RecordBatch:
-            fps, sizes, nodes = rows["fp"].to_numpy().view(np.uint64), rows["size"].to_numpy(), rows["node"].to_pylist()
-            us, vs = [], []
+        def links(rows: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+            values, keys = {c: rows[c].to_numpy() for c in columns}, rows["key"].to_numpy()
+            us, vs, left, found = [], [], [], 0
+
+            def pairs() -> pa.RecordBatch:
+                us_, vs_ = (rows["node"].take(pa.array(np.concatenate((np.zeros(0, int), *x)))).combine_chunks() for x in (us, vs))
+                us_, vs_ = (pa.concat_arrays([x, pa.nulls(len(left), kind)]) if left else x for x in (us_, vs_))
+                return pa.RecordBatch.from_pydict({"u": us_, "v": vs_, "key": pa.array([None] * found + left, pa.int64())})
+
             for begin, end in zip(bounds, bounds[1:]):
                 if end - begin > 1:
-                    for i, j in edges_of(fps[begin:end], sizes[begin:end]):
-                        us.append(nodes[begin + i])
-                        vs.append(nodes[begin + j])
-            kind = pa.int64() if node_type == "long" else pa.string()
-            return pa.RecordBatch.from_pydict({"u": pa.array(us, kind), "v": pa.array(vs, kind)})
+                    i, j, more = edges_of({c: x[begin:end] for c, x in values.items()})
+                    us.append(i + begin)
+                    vs.append(j + begin)
+                    found += len(i)
+                    left += [int(keys[begin])] if more else []
+                    if found > 1 << 16:
+                        yield pairs()
+                        us, vs, left, found = [], [], [], 0
+            yield pairs()
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -183,14 +199,28 @@ def _tile_links(members: DataFrame, node_type: str, edges_of: Callable[[np.ndarr
             key, a, b = (rows[c].to_numpy() for c in ("key", "a", "b"))
             cuts = (np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist()
             if cuts:
-                yield links(rows.slice(0, cuts[-1]), [0, *cuts])
+                yield from links(rows.slice(0, cuts[-1]), [0, *cuts])
                 kept = rows.slice(cuts[-1])
             else:
                 kept = rows
         if kept is not None and kept.num_rows:
-            yield links(kept, [0, kept.num_rows])
+            yield from links(kept, [0, kept.num_rows])
+
+    return tiled.mapInArrow(run, f"u {node_type}, v {node_type}, key long")
+
+
+def _tile_links(members: DataFrame, node_type: str, edges_of: Callable[[np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """(u, v) from the tiles of ``members`` (key, n, node, fp, size)."""
+
+    def edges(tile: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, bool]:
+        found = np.array(edges_of(tile["fp"].view(np.uint64), tile["size"]), int).reshape(-1, 2)
+        return found[:, 0], found[:, 1], False
+
+    return _tiles(members, node_type, ["fp", "size"], edges).select("u", "v")
+
 
-    return tiled.mapInArrow(run, f"u {node_type}, v {node_type}")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _shared(keyed: DataFrame, close: Callable[[Column, Column], Column], node_type: str, edges_of) -> DataFrame:
@@ -200,7 +230,7 @@ def _shared(keyed: DataFrame, close: Callable[[Column, Column], Column], node_ty
     counted = written(counted, "keys")
     pairs = counted.where("n = 2").where(close(F.col("x"), F.col("y"))).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
     members = keyed.join(counted.where("n > 2").select("key", "n"), "key")
-    return pairs.union(_tile_links(members, node_type, edges_of)).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return _ordered(pairs.union(_tile_links(members, node_type, edges_of)))
 
 
 def _distances(fps: np.ndarray) -> np.ndarray:
@@ -254,12 +284,31 @@ def wide_blocks(hashes: np.ndarray, similarity: float) -> list[int]:
 
 def jaccard(a: str, b: str, words: int) -> float:
     """Similarity of the texts' shingle sets; 1 if both have no words."""
-    x, y = np.unique(shingle_hashes(a, words)), np.unique(shingle_hashes(b, words))
+    return set_similarity(np.unique(shingle_hashes(a, words)), np.unique(shingle_hashes(b, words)))
+
+
+def set_similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 if both are empty."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     every = len(x) + len(y) - both
     return both / every if every else 1.0
 
 
+def tile_distances(tile: dict[str, np.ndarray], similarity: float) -> np.ndarray:
+    """Distances of a tile's pairs of different roots that can be that similar, 255 for all others."""
+    prints, sizes, roots = tile["fp"].view(np.uint64), tile["size"], tile["root"]
+    far = np.full((len(roots), len(roots)), 255, np.uint8)
+    if (roots == roots[0]).all():
+        return far
+    for i in range(0, len(roots), 256):
+        part = slice(i, i + 256)
+        distances = np.bitwise_count(prints[part, None] ^ prints)
+        near = (distances <= WIDE_DISTANCE) & (roots[part, None] != roots)
+        near &= np.minimum(sizes[part, None], sizes) >= similarity * np.maximum(sizes[part, None], sizes) - 1e-9
+        far[part][near] = distances[near]
+    return far
+
+
 def _text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
@@ -285,27 +334,49 @@ def near_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     with batch_rows(docs.sparkSession, 1000):
         sketches = written(named.mapInArrow(sketch, out).dropDuplicates(["node"]), "sketches")
     keyed = sketches.select(F.explode("keys").alias("key"), "node", "fp", "size")
+    row = F.struct("node", "fp", "size")
+    counted = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("x"), F.max(row).alias("y")).where("n > 1"), "keys")
+    members = keyed.join(counted.where("n > 2").select("key", "n"), "key")
 
     def close(x: Column, y: Column) -> Column:
-        return (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= WIDE_DISTANCE) & (F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * F.lit(similarity))
-
-    def edges_of(fps: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
-        distances = _distances(fps)
-        distances[np.minimum(sizes[:, None], sizes[None, :]) < similarity * np.maximum(sizes[:, None], sizes[None, :])] = 255
-        return nearest_edges(distances, WIDE_DISTANCE)
+        return (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= WIDE_DISTANCE) & (F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * F.lit(similarity) - 1e-9)
 
-    candidates = written(_shared(keyed, close, "string", edges_of), "candidates")
-    nodes = candidates.select(F.col("u").alias("node")).union(candidates.select(F.col("v").alias("node"))).distinct()
-    texts = written(named.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
-    both = candidates.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
+    def tiles(rows: DataFrame, nearest: int) -> DataFrame:
+        return written(_tiles(rows, "string", ["fp", "size", "root"], lambda tile: nearest_edges(tile_distances(tile, similarity), nearest)), "tiles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [jaccard(x.as_py() or "", y.as_py() or "", words) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
+            sets: dict[str, np.ndarray] = {}
+            keep = []
+            for u, v, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                for node, text in ((u, x), (v, y)):
+                    if node not in sets:
+                        sets[node] = np.unique(shingle_hashes(text or "", words))
+                keep.append(set_similarity(sets[u], sets[v]) >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    with batch_rows(docs.sparkSession, 100):
-        return written(both.mapInArrow(verify, "u string, v string"), "links")
+    def verified(candidates: DataFrame) -> DataFrame:
+        nodes = candidates.select(F.col("u").alias("node")).union(candidates.select(F.col("v").alias("node"))).distinct()
+        texts = written(named.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
+        both = candidates.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
+        with batch_rows(docs.sparkSession, 100):
+            return written(both.mapInArrow(verify, "u string, v string"), "links")
+
+    pairs = counted.where("n = 2").where(close(F.col("x"), F.col("y"))).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    nearest = NEAREST
+    found = tiles(members.withColumn("root", F.xxhash64("node")), nearest)
+    asked = written(_ordered(pairs.union(found.where("key is null").select("u", "v"))), "candidates")
+    links = verified(asked)
+    while not (left := found.where("key is not null").select("key").distinct()).isEmpty():
+        # what a tile left over and no link has connected since
+        nearest *= 8
+        roots = components(links)
+        apart = members.join(left, "key", "left_semi").join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
+        found = tiles(apart, nearest)
+        more = written(_ordered(found.where("key is null").select("u", "v")).join(asked, ["u", "v"], "left_anti"), "candidates")
+        if not more.isEmpty():
+            asked, links = asked.union(more), links.union(verified(more))
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

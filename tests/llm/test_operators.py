@@ -168,6 +168,52 @@ def test_near_duplicates(spark):
     assert simhash.deduplicated(docs_of(spark, [])).count() == 0
 
 
+def brute_groups(texts, similarity=0.8):
+    """Numbers of the texts by component of all pairs at least that similar."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                parent[find(a)] = find(b)
+    groups = {}
+    for a in range(len(texts)):
+        groups.setdefault(find(a), []).append(a)
+    return sorted(groups.values())
+
+
+def near_groups(spark, texts):
+    frame = docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    node = {hashlib.md5(t.encode()).hexdigest(): i for i, t in enumerate(texts)}
+    groups = {}
+    for r in simhash.near_duplicates(frame).collect():
+        groups.setdefault(r.component, []).append(node[r.node])
+    return sorted(sorted(g) for g in groups.values())
+
+
+def test_near_duplicates_of_one_template(spark, monkeypatch):
+    """Most texts are a little less similar than asked; the few that are similar aren't among a text's nearest by Hamming distance."""
+    monkeypatch.setattr(simhash, "TILE", 64)
+    rng = random.Random(5)
+    template = [f"w{i}" for i in range(204)]
+    texts = []
+    for i in range(300):
+        text = list(template)
+        for at in rng.sample(range(204), 4):
+            text[at] = f"x{i}y{at}"
+        texts.append(" ".join(text))
+    wanted = brute_groups(texts)
+    assert 20 < len(wanted) < 290
+    assert near_groups(spark, texts) == wanted
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.standard_normal(16)]) for i in range(300)]
