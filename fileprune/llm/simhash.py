@@ -6,10 +6,12 @@ equal keys. Pairs are joined on those keys and their Hamming distance is verifie
 
 ``near_duplicates``: pairs of shingle sets with a Jaccard similarity of at least ``similarity``. There a fingerprint is
 wide: it is made of blocks, each the SimHash of one class of the shingles (by their hash), with as many classes as half
-the shingles, a power of two. Sets that similar differ in fewer shingles than there are classes, so they share the block
-of a class without a difference. Of sets with many classes the first BLOCKS are kept, of which one agrees but for a
-chance below 1 in 100,000 (a class has 2 to 4 shingles). Pairs that share a block are compared by the Hamming distance
-of their 64-bit fingerprints, and those near enough by their shingles.
+the shingles, a power of two. Of the classes the first BLOCKS are kept, of which one has members and no difference but for
+a chance below 1 in 100,000 (a class has 2 to 4 shingles). Pairs that share a block are compared by the Hamming distance
+of their 64-bit fingerprints, and those near enough by their shingles. Few classes may all differ or be empty, so sets
+below SMALL shingles are found by a prefix filter, which is exact: in the order of the hashes, sets that similar share one
+of the first ``size - ceil(similarity * size) + 1``. Such pairs are compared by the parities of their shingles over 128
+buckets, which differ in no more buckets than the sets do in shingles, and then by their shingles.
 
 Keys that many rows share are cut into tiles of a bounded number of rows. A tile of fingerprints gives the edges of a
 forest and not all its pairs. A tile of near-duplicates gives each row's nearest partners and a shortest forest first; as
@@ -19,6 +21,7 @@ pair is connected or refuted. Equal texts are one row from the start.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -41,6 +44,8 @@ TILE = 1024
 NARROW_BLOCKS = 6
 #: Most blocks of a wide fingerprint, and the Hamming distance up to which a pair's shingles are compared.
 BLOCKS, WIDE_DISTANCE = 24, 20
+#: Sets with fewer shingles, and those that are similar to one, are found by prefixes.
+SMALL = 64
 #: Nearest partners that a row of a tile names at first besides the tile's shortest forest; then 8 times as many in each round.
 NEAREST = 8
 
@@ -257,11 +262,33 @@ def fingerprint_components(docs: DataFrame, words: int = 3, distance: int = 3, b
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_blocks(hashes: np.ndarray, similarity: float) -> list[int]:
-    """Keys of the blocks of a wide fingerprint of distinct hashes, for sets of this size and of those up to 1 / similarity as large."""
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the hashes (the last steps of SplitMix64)."""
+    with np.errstate(over="ignore"):
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return hashes ^ (hashes >> np.uint64(31))
+
+
+def prefix_keys(hashes: np.ndarray, similarity: float) -> list[int]:
+    """The least of the sorted distinct hashes, as many as it takes to share one with every set that similar; none for sets that wide blocks find."""
     size = len(hashes)
     if not size:
         return [0]
+    return hashes[: size - math.ceil(similarity * size - 1e-9) + 1].tolist() if size * similarity < SMALL else []
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """128 bits, as two numbers: whether the number of hashes in each of 128 buckets is odd."""
+    odd = np.bincount((_mixed(hashes) >> np.uint64(57)).astype(int), minlength=128) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def wide_blocks(hashes: np.ndarray, similarity: float) -> list[int]:
+    """Keys of the blocks of a wide fingerprint of distinct hashes, for sets of this size and of those up to 1 / similarity as large; none for small sets."""
+    size = len(hashes)
+    if size < SMALL:
+        return []
     levels = {size.bit_length() - 1, int(size / similarity + 1e-9).bit_length() - 1}
     with np.errstate(over="ignore"):
         mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -296,53 +323,68 @@ def set_similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 def tile_distances(tile: dict[str, np.ndarray], similarity: float) -> np.ndarray:
     """Distances of a tile's pairs of different roots that can be that similar, 255 for all others."""
-    prints, sizes, roots = tile["fp"].view(np.uint64), tile["size"], tile["root"]
+    low, high, sizes, roots = tile["low"].view(np.uint64), tile["high"].view(np.uint64), tile["size"], tile["root"]
     far = np.full((len(roots), len(roots)), 255, np.uint8)
     if (roots == roots[0]).all():
         return far
     for i in range(0, len(roots), 256):
         part = slice(i, i + 256)
-        distances = np.bitwise_count(prints[part, None] ^ prints)
-        near = (distances <= WIDE_DISTANCE) & (roots[part, None] != roots)
+        distances = np.bitwise_count(low[part, None] ^ low) + np.bitwise_count(high[part, None] ^ high)
+        limit = (sizes[part, None] + sizes) * _differing(similarity) + 1e-9 if tile["small"][0] else WIDE_DISTANCE
+        near = (distances <= limit) & (roots[part, None] != roots)
         near &= np.minimum(sizes[part, None], sizes) >= similarity * np.maximum(sizes[part, None], sizes) - 1e-9
         far[part][near] = distances[near]
     return far
 
 
+def _differing(similarity: float) -> float:
+    """Most shingles that are in one of two sets that similar only, over the sum of the sizes."""
+    return (1 - similarity) / (1 + similarity)
+
+
 def _text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
 def near_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(u, v): MD5s of different texts whose shingle sets have at least that similarity; enough of them to connect what is similar."""
-    out = "node string, fp long, size int, keys array<long>"
+    out = "node string, size int, low long, high long, keys array<long>, odd_low long, odd_high long, prefix array<long>"
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in slices(batch.column(1)):
                 sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+                prints = np.array([(fingerprint(s) if len(s) >= SMALL else 0, 0) for s in sets], np.uint64)
+                odd = np.array([parities(s) if len(s) * similarity < SMALL else (0, 0) for s in sets], np.uint64)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "node": batch.column(0).slice(begin, len(texts)),
-                        "fp": pa.array(_signed([fingerprint(s) for s in sets]), pa.int64()),
                         "size": pa.array([len(s) for s in sets], pa.int32()),
+                        "low": pa.array(_signed(prints[:, 0].copy()), pa.int64()),
+                        "high": pa.array(_signed(prints[:, 1].copy()), pa.int64()),
                         "keys": pa.array([_signed(wide_blocks(s, similarity)) for s in sets], pa.list_(pa.int64())),
+                        "odd_low": pa.array(_signed(odd[:, 0].copy()), pa.int64()),
+                        "odd_high": pa.array(_signed(odd[:, 1].copy()), pa.int64()),
+                        "prefix": pa.array([_signed(prefix_keys(s, similarity)) for s in sets], pa.list_(pa.int64())),
                     }
                 )
 
     named = docs.select(_text_key(F.col("text")).alias("node"), F.col("text"))
     with batch_rows(docs.sparkSession, 1000):
         sketches = written(named.mapInArrow(sketch, out).dropDuplicates(["node"]), "sketches")
-    keyed = sketches.select(F.explode("keys").alias("key"), "node", "fp", "size")
-    row = F.struct("node", "fp", "size")
+    keyed = sketches.select(F.explode("keys").alias("key"), "node", "low", "high", "size", F.lit(False).alias("small"))
+    keyed = keyed.union(sketches.select(F.explode("prefix").alias("key"), "node", "odd_low", "odd_high", "size", F.lit(True)))
+    row = F.struct("node", "low", "high", "size", "small")
     counted = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("x"), F.max(row).alias("y")).where("n > 1"), "keys")
     members = keyed.join(counted.where("n > 2").select("key", "n"), "key")
 
     def close(x: Column, y: Column) -> Column:
-        return (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= WIDE_DISTANCE) & (F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * F.lit(similarity) - 1e-9)
+        distance = F.bit_count(x["low"].bitwiseXOR(y["low"])) + F.bit_count(x["high"].bitwiseXOR(y["high"]))
+        limit = F.when(x["small"], (x["size"] + y["size"]) * F.lit(_differing(similarity)) + 1e-9).otherwise(F.lit(float(WIDE_DISTANCE)))
+        return (distance <= limit) & (F.least(x["size"], y["size"]) >= F.greatest(x["size"], y["size"]) * F.lit(similarity) - 1e-9)
 
     def tiles(rows: DataFrame, nearest: int) -> DataFrame:
-        return written(_tiles(rows, "string", ["fp", "size", "root"], lambda tile: nearest_edges(tile_distances(tile, similarity), nearest)), "tiles")
+        return written(_tiles(rows, "string", ["low", "high", "size", "small", "root"], lambda tile: nearest_edges(tile_distances(tile, similarity), nearest)), "tiles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

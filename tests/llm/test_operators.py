@@ -214,6 +214,18 @@ def test_near_duplicates_of_one_template(spark, monkeypatch):
     assert near_groups(spark, texts) == wanted
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """A word added to a text of few words: sets of 4 to 20 shingles."""
+    rng = random.Random(6)
+    texts = []
+    for i in range(400):
+        text = [f"w{i}{rng.random()}" for _ in range(rng.choice([8, 9, 10, 12, 16, 20]))]
+        texts += [" ".join(text), " ".join([*text, "added"])]
+    wanted = brute_groups(texts)
+    assert len(wanted) == 400
+    assert near_groups(spark, texts) == wanted
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.standard_normal(16)]) for i in range(300)]
