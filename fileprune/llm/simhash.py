@@ -8,7 +8,7 @@ equal keys. Pairs are joined on those keys and their Hamming distance is verifie
 wide: it is made of blocks, each the SimHash of one class of the shingles (by their hash), with as many classes as half
 the shingles, a power of two. Of the classes the first BLOCKS are kept, of which one has members and no difference but for
 a chance below 1 in 100,000 (a class has 2 to 4 shingles). Pairs that share a block are compared by the Hamming distance
-of their 64-bit fingerprints, and those near enough by their shingles. Few classes may all differ or be empty, so sets
+of 128-bit fingerprints, and those near enough by their shingles. Few classes may all differ or be empty, so sets
 below SMALL shingles are found by a prefix filter, which is exact: in the order of the hashes, sets that similar share one
 of the first ``size - ceil(similarity * size) + 1``. Such pairs are compared by the parities of their shingles over 128
 buckets, which differ in no more buckets than the sets do in shingles, and then by their shingles.
@@ -42,8 +42,9 @@ BITS = 64
 TILE = 1024
 #: Blocks of the narrow fingerprints: with 6 blocks and 3 bits, 20 keys of 32 bits or so each.
 NARROW_BLOCKS = 6
-#: Most blocks of a wide fingerprint, and the Hamming distance up to which a pair's shingles are compared.
-BLOCKS, WIDE_DISTANCE = 24, 20
+#: Most blocks of a wide fingerprint, and the Hamming distance of 128 bits up to which a pair's shingles are compared. At a
+#: similarity of 0.8 a bit differs with a chance of arccos(8 / 9) / pi = 0.151, so more than 40 do in about 1 of a million pairs.
+BLOCKS, WIDE_DISTANCE = 24, 40
 #: Sets with fewer shingles, and those that are similar to one, are found by prefixes.
 SMALL = 64
 #: Nearest partners that a row of a tile names at first besides the tile's shortest forest; then 8 times as many in each round.
@@ -354,7 +355,7 @@ def near_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
         for batch in batches:
             for begin, texts in slices(batch.column(1)):
                 sets = [np.unique(shingle_hashes(t, words)) for t in texts]
-                prints = np.array([(fingerprint(s) if len(s) >= SMALL else 0, 0) for s in sets], np.uint64)
+                prints = np.array([(fingerprint(s), fingerprint(_mixed(s))) if len(s) >= SMALL else (0, 0) for s in sets], np.uint64)
                 odd = np.array([parities(s) if len(s) * similarity < SMALL else (0, 0) for s in sets], np.uint64)
                 yield pa.RecordBatch.from_pydict(
                     {

@@ -226,6 +226,22 @@ def test_near_duplicates_of_short_texts(spark):
     assert near_groups(spark, texts) == wanted
 
 
+def test_near_duplicates_with_distant_fingerprints(spark):
+    """Similar texts of which over 20 of 64 bits differ."""
+    rng = random.Random(7)
+    texts = []
+    while len(texts) < 4:
+        words = [f"w{rng.random()}" for _ in range(104)]
+        copy = [*words[:-11], *(f"x{rng.random()}" for _ in range(11))]
+        pair = [" ".join(words), " ".join(copy)]
+        a, b = (np.unique(simhash.shingle_hashes(t, 5)) for t in pair)
+        if (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 20:
+            texts += pair
+    wanted = brute_groups(texts)
+    assert len(wanted) == 2
+    assert near_groups(spark, texts) == wanted
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.standard_normal(16)]) for i in range(300)]
