@@ -24,6 +24,8 @@ from fileprune.llm.common import written
 _MARKS = re.compile(r"[ \t]{0,3}>[ \t]?")
 _ATTRIBUTION = re.compile(r"\s*\S.{0,200}\b(wrote|schrieb|écrit|escribió)\b.{0,20}:\s*$", re.IGNORECASE)
 _ENDS = re.compile(r"^\W+|\W+$")
+#: Parts that the messages of a hash are dealt to.
+SALTS = 16
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -100,8 +102,8 @@ def parsed(conversations: DataFrame) -> DataFrame:
 def quotation_links(messages: DataFrame) -> DataFrame:
     """(id, level, number, part, to_conv, to_turn, to_id): where the hashes of each message's quotations come from.
 
-    A hash's messages are reduced to one for each conversation and turn by a running maximum, and to one for all
-    conversations, before they meet the quotations, so that common lines don't multiply.
+    A hash's messages are reduced to one for each conversation and turn by a running maximum, and to the
+    first ones of two conversations, before they meet the quotations, so that common lines don't multiply.
     """
     own = messages.select("id", "conv_id", "turn", F.explode("hashes").alias("hash"))
     asked = (
@@ -115,15 +117,19 @@ def quotation_links(messages: DataFrame) -> DataFrame:
     earlier = F.last("from", ignorenulls=True).over(Window.partitionBy("conv_id", "hash").orderBy(F.col("turn").asc_nulls_first(), "asks", "id").rowsBetween(Window.unboundedPreceding, -1))
     within = both.withColumn("to", earlier).where("asks = 0")
     first = own.groupBy("hash").agg(F.min(F.struct(F.col("conv_id").isNull().alias("n"), "conv_id", "turn", "id")).alias("any"))
-    found = within.join(first, "hash", "left")
-    other = F.col("to").isNull() & ~F.col("any.conv_id").eqNullSafe(F.col("conv_id"))
-    return found.where("to is not null or any is not null").select(
+    # where the first conversation is the one that asks, the next; a frequent line is spread over SALTS parts
+    needed = asked.select("conv_id", "hash").distinct().join(first, "hash").where(F.col("any.conv_id").eqNullSafe(F.col("conv_id")))
+    needed = needed.select("hash", F.col("conv_id").alias("asks_conv"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    others = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(needed, ["hash", "salt"]).where(~F.col("conv_id").eqNullSafe(F.col("asks_conv")))
+    second = others.groupBy("hash").agg(F.min(F.struct(F.col("conv_id").isNull().alias("n"), "conv_id", "turn", "id")).alias("next"))
+    found = within.join(first, "hash", "left").join(second, "hash", "left").withColumn("other", F.when(F.col("any.conv_id").eqNullSafe(F.col("conv_id")), F.col("next")).otherwise(F.col("any")))
+    return found.where("to is not null or other is not null").select(
         "id", "level", "number", "part",
-        F.when(F.col("to").isNotNull(), F.col("conv_id")).when(other, F.col("any.conv_id")).alias("to_conv"),
-        F.when(F.col("to").isNotNull(), F.col("to.turn")).when(other, F.col("any.turn")).alias("to_turn"),
-        F.when(F.col("to").isNotNull(), F.col("to.id")).when(other, F.col("any.id")).alias("to_id"),
+        F.when(F.col("to").isNotNull(), F.col("conv_id")).otherwise(F.col("other.conv_id")).alias("to_conv"),
+        F.when(F.col("to").isNotNull(), F.col("to.turn")).otherwise(F.col("other.turn")).alias("to_turn"),
+        F.when(F.col("to").isNotNull(), F.col("to.id")).otherwise(F.col("other.id")).alias("to_id"),
         F.col("to").isNotNull().alias("same"),
-    ).where("to_id is not null")
+    )
 
 
 def linked_conversations(conversations: DataFrame) -> DataFrame:

@@ -439,6 +439,18 @@ def test_chat(spark):
     assert chat.answer_order([None, 0, 1, 0, 3]) == [0, 1, 2, 3, 4] and json.dumps(chat.levels("> > a\n>b\nc")) == '[[2, "a"], [1, "b"], [0, "c"]]'
 
 
+def test_chat_quotes_another_conversation(spark):
+    """The least conversation that has the words is the one that quotes them, and has them later or in the same message only."""
+    rows = [
+        (1, 0, "user", "> the old mill\nyes"), (1, 3, "user", "the old mill"), (2, 4, "user", "The old mill"), (3, 0, "user", "the old mill"),
+        (4, 0, "user", "> only here\nonly here"), (5, 1, "user", "> the old mill\nno"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in chat.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1, 0].n_linked, got[1, 0].quoted_conv, got[1, 0].quoted_turn) == (1, 2, 4)
+    assert (got[4, 0].n_linked, got[4, 0].quoted_conv) == (0, None)
+    assert (got[5, 1].quoted_conv, got[5, 1].quoted_turn) == (1, 3)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
