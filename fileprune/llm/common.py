@@ -21,26 +21,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.fileprune.scratchDir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="fileprune-")
             spark.conf.set("spark.fileprune.scratchDir", root)
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/fileprune-scratch-{spark.sparkContext.applicationId}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/fileprune-scratch/{name}-{uuid.uuid4().hex}"
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage and fixes what non-deterministic plans made."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, name).written(df, name)
+
+
+class Scratch:
+    """Tables in the shared folder. As a context it deletes them at its end, so nothing that is still to be read may depend on them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{len(self._paths)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths.append((out, path))
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table that ``written`` gave."""
+        for held, path in self._paths:
+            if held is df:
+                _delete(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        _delete(self.spark, self.path)
 
 
 @contextlib.contextmanager
@@ -57,8 +84,7 @@ def batch_rows(spark: SparkSession, rows: int):
 
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch tables. Call it when no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/fileprune-scratch")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileprune.llm.common import written
+from fileprune.llm.common import Scratch
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -26,18 +26,21 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v) that is not the least of its component, root being the least.
 
     Large and small stars take turns until the table no longer changes, in a number of rounds that grows with the
-    logarithm of the links; each round is written to the shared folder. Self-links and repeated links do no harm.
+    logarithm of the links; each round is written to the shared folder (that of ``scratch``, which the caller clears) and the one
+    before it deleted. Self-links and repeated links do no harm.
     """
-    now = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    scratch = scratch or Scratch(links.sparkSession, "components")
+    now = scratch.written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _mark(now)
     while mark[0]:
-        after = written(_small_star(_large_star(now).distinct()).distinct(), "links")
+        after = scratch.written(_small_star(_large_star(now).distinct()).distinct(), "links")
         after_mark = _mark(after)
-        if after_mark == mark:
+        scratch.drop(now)
+        now, changed, mark = after, after_mark != mark, after_mark
+        if not changed:
             break
-        now, mark = after, after_mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

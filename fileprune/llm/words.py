@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable
 
@@ -44,6 +46,8 @@ def only_here(name: str, clear: Callable[[], None]) -> None:
         _holding.pop()[1]()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
     if not _holding:
         _holding.append((name, clear))
 

@@ -122,13 +122,53 @@ def test_simhash_components(spark):
 
 
 def test_tiles_of_a_hot_block(spark, monkeypatch):
-    """Many fingerprints with one block in common: tiles keep what is connected connected."""
+    """Many fingerprints with one block in common: tiles keep what is connected connected; a large root has slots of its own."""
     monkeypatch.setattr(simhash, "TILE", 8)
     fps = [(1 << i) | (1 << j) for i in range(12) for j in range(i)] + [0]
-    frame = spark.createDataFrame([(1, f, f, 0, len(fps)) for f in fps], "key long, node long, fp long, size int, n long")
-    links = simhash._tile_links(frame, "long", lambda f, _: simhash.spanning(simhash._distances(f), 2))
-    roots = components(links)
+    frame = spark.createDataFrame([(1, f, f) for f in fps], "key long, id long, root long")
+    roots = components(simhash.in_tiles(simhash.dealt(frame, []), simhash._fingerprint_edges(2)))
     assert roots.count() == len(fps) - 1 and {r.root for r in roots.collect()} == {0}
+    rows = [(1, i, 7 if i < 100 else i) for i in range(120)] + [(2, i, 7) for i in range(50)]
+    tiles = simhash.dealt(spark.createDataFrame(rows, "key long, id long, root long"), []).collect()
+    met = {}
+    for r in tiles:
+        met.setdefault((r.key, r.a, r.b), []).append((r.side, r.id))
+    pairs = set()
+    for (_, a, b), members in met.items():
+        pairs |= {frozenset((x, y)) for i, x in members for j, y in members if x != y and (a == b or i != j)}
+    assert {k for k, _, _ in met} == {1} and pairs >= {frozenset((i, j)) for i in range(120) for j in range(max(100, i + 1), 120)}
+    assert len(tiles) < 120 * 6  # 100 rows of one root in 13 slots don't meet each other
+
+
+def test_similar_pairs():
+    """Shared shingles as one product and pair by pair give the same."""
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64))
+    sets = [np.unique(np.concatenate((rng.choice(base, rng.integers(250, 300), replace=False), rng.integers(0, 1 << 62, rng.integers(0, 30)).astype(np.uint64)))) for _ in range(150)] + [base[:5], np.zeros(0, np.uint64)]
+    near = ~np.eye(len(sets), dtype=bool)
+    want = np.array([[i != j and simhash.set_similarity(a, b) >= 0.8 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert (simhash.similar_pairs(sets, near, 0.8) == want).all() and 0 < want.sum() < want.size
+    few = np.zeros_like(near)
+    few[0, 1:4] = few[1:4, 0] = True
+    assert (simhash.similar_pairs(sets, few, 0.8) == (want & few)).all()
+
+
+def test_recall_of_blocks():
+    """Of pairs at a similarity of 0.8 to 0.85, how many share a block and are near by the wide fingerprint."""
+    rng = np.random.default_rng(2)
+    found = blocks = total = 0
+    for size in (64, 80, 127, 130, 300, 1000):
+        for _ in range(150):
+            base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+            apart = int(size / 9)  # (size - apart) / (size + apart) is 0.8
+            a, b = np.unique(base), np.unique(np.concatenate((base[apart:], rng.integers(0, 1 << 62, apart).astype(np.uint64))))
+            if simhash.set_similarity(a, b) < 0.8:
+                continue
+            total += 1
+            keys = [set(simhash.wide_blocks(x, 0.8) + simhash.prefix_keys(x, 0.8)) for x in (a, b)]
+            blocks += bool(keys[0] & keys[1])
+            found += sum((x ^ y).bit_count() for x, y in zip(simhash.wide_print(a), simhash.wide_print(b))) <= simhash.WIDE_DISTANCE
+    assert total > 800 and blocks >= 0.999 * total and found >= 0.999 * total
 
 
 def test_near_duplicates(spark):
@@ -214,6 +254,36 @@ def test_near_duplicates_of_one_template(spark, monkeypatch):
     assert near_groups(spark, texts) == wanted
 
 
+def test_near_duplicates_of_large_families(spark, monkeypatch):
+    """Families of 300 to 3,000 near copies, over several tiles: one around a text, one that drifts, one of a template that is just not alike."""
+    monkeypatch.setattr(simhash, "TILE", 256)
+    rng = random.Random(11)
+    texts = []
+    for size, changes in ((3000, 1), (300, 4), (500, 6)):
+        base = [f"w{rng.random()}" for _ in range(150)]
+        for i in range(size):
+            text = list(base)
+            for at in rng.sample(range(150), rng.randrange(changes + 1)):
+                text[at] = f"x{i}y{at}"
+            texts.append(" ".join(text))
+        drift = list(base)
+        for i in range(60):  # each is like the one before, the last not like the first
+            drift[2 * i] = f"d{i}"
+            texts.append(" ".join(drift))
+    texts = list(dict.fromkeys(texts))
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    near = simhash.similar_pairs(sets, ~np.eye(len(sets), dtype=bool), 0.8)
+    parent = list(range(len(texts)))
+    for a, b in simhash.spanning(near):
+        for i, p in enumerate(parent):
+            if p == parent[b]:
+                parent[i] = parent[a]
+    groups = {}
+    for i, p in enumerate(parent):
+        groups.setdefault(p, []).append(i)
+    assert near_groups(spark, texts) == sorted(groups.values())
+
+
 def test_near_duplicates_of_short_texts(spark):
     """A word added to a text of few words: sets of 4 to 20 shingles."""
     rng = random.Random(6)
