@@ -3,7 +3,7 @@
 Lines that begin with > marks are quotations of that level. Quoted passages and their lines are normalised (lower case,
 single spaces, no marks at the ends) and hashed, and so are the messages' own words: the whole, each paragraph and each
 line. A quotation is linked to the latest earlier message of its conversation that has its hash, else to the first
-message of any other conversation that has it. A message answers the message that its first linked quotation of the
+message of any other conversation that has it, if the passage has LEAST_WORDS words. A message answers the message that its first linked quotation of the
 lowest level comes from, else the one before it; conversations are put in the order of answers, without quotations.
 """
 
@@ -24,6 +24,8 @@ from fileprune.llm.common import written
 _MARKS = re.compile(r"[ \t]{0,3}>[ \t]?")
 _ATTRIBUTION = re.compile(r"\s*\S.{0,200}\b(wrote|schrieb|écrit|escribió)\b.{0,20}:\s*$", re.IGNORECASE)
 _ENDS = re.compile(r"^\W+|\W+$")
+#: Words that a passage must have to be linked to another conversation: a short answer is nobody's quotation.
+LEAST_WORDS = 3
 #: Parts that the messages of a hash are dealt to.
 SALTS = 16
 
@@ -42,10 +44,14 @@ def levels(text: str) -> list[tuple[int, str]]:
 def passages(text: str) -> tuple[str, list[tuple[int, str]]]:
     """The writer's own text, and the quoted passages as (level, text): runs of lines of one level. A line that only names who is quoted goes."""
     own, quoted, lines = [], [], levels(text)
+    follows, after = [], 0  # the level of the next line that isn't blank, for each line
+    for level, line in reversed(lines):
+        follows.append(after)
+        after = level if level or line.strip() else after
+    follows.reverse()
     for i, (level, line) in enumerate(lines):
         if level == 0:
-            follows = next((other for other, rest in lines[i + 1 :] if other or rest.strip()), 0)
-            if not (follows > 0 and _ATTRIBUTION.match(line)):
+            if not (follows[i] and _ATTRIBUTION.match(line)):
                 own.append(line)
         elif i and lines[i - 1][0] == level:
             quoted[-1][1].append(line)
@@ -59,10 +65,14 @@ def normalised(text: str) -> str:
 
 
 def digests(text: str) -> list[int]:
-    """Signed hashes of the whole, of each paragraph and of each line, normalised; empty parts have none. The whole comes first."""
+    """Signed hashes of the whole, of each paragraph and of each line, normalised; empty parts have none. The whole comes first.
+
+    The lowest bit says whether the part has LEAST_WORDS words, enough to be known in another conversation.
+    """
     parts = [text, *re.split(r"\n\s*\n", text), *text.splitlines()]
     found = dict.fromkeys(n for n in map(normalised, parts) if n)
-    return [h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(n, 3) for n in found)]
+    marked = (xxhash.xxh64_intdigest(n, 3) & ~1 | (n.count(" ") + 1 >= LEAST_WORDS) for n in found)
+    return [h - (1 << 64) if h >> 63 else h for h in marked]
 
 
 def answer_order(answers: list[int | None]) -> list[int]:
@@ -116,7 +126,8 @@ def quotation_links(messages: DataFrame) -> DataFrame:
     # of one turn, questions come before messages: a message doesn't quote itself
     earlier = F.last("from", ignorenulls=True).over(Window.partitionBy("conv_id", "hash").orderBy(F.col("turn").asc_nulls_first(), "asks", "id").rowsBetween(Window.unboundedPreceding, -1))
     within = both.withColumn("to", earlier).where("asks = 0")
-    first = own.groupBy("hash").agg(F.min(F.struct(F.col("conv_id").isNull().alias("n"), "conv_id", "turn", "id")).alias("any"))
+    long = F.col("hash").bitwiseAND(F.lit(1)) == 1
+    first = own.where(long).groupBy("hash").agg(F.min(F.struct(F.col("conv_id").isNull().alias("n"), "conv_id", "turn", "id")).alias("any"))
     # where the first conversation is the one that asks, the next; a frequent line is spread over SALTS parts
     needed = asked.select("conv_id", "hash").distinct().join(first, "hash").where(F.col("any.conv_id").eqNullSafe(F.col("conv_id")))
     needed = needed.select("hash", F.col("conv_id").alias("asks_conv"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

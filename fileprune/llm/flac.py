@@ -304,12 +304,20 @@ class FlacStream:
                 break
         return np.concatenate(parts) if parts else np.zeros(0, np.int8)
 
-    def verified(self) -> np.ndarray:
-        """All samples, their number and MD5 compared with the stream's."""
-        samples = self.read()
-        if len(samples) != self.total or any(self.md5) and hashlib.md5(samples.tobytes()).digest() != self.md5:
+    def verified_blocks(self) -> list[tuple[int, np.ndarray]]:
+        """All blocks with their offsets, the number of samples and their MD5 compared with the stream's."""
+        blocks, digest, count = list(self.blocks()), hashlib.md5(), 0
+        for _, block in blocks:
+            digest.update(block.tobytes())
+            count += len(block)
+        if count != self.total or any(self.md5) and digest.digest() != self.md5:
             raise FlacError("the samples aren't those that were written")
-        return samples
+        return blocks
+
+    def verified(self) -> np.ndarray:
+        """All samples, verified."""
+        blocks = self.verified_blocks()
+        return np.concatenate([x for _, x in blocks]) if blocks else np.zeros(0, np.int8)
 
 
 def _field(bits: np.ndarray, at: int, width: int) -> int:

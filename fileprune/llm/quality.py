@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileprune.llm.bpe import slices
-from fileprune.llm.common import fold, label_sample
+from fileprune.llm.common import fold, label_sample, unused
 from fileprune.llm.words import BY_WHITE_SPACE, Rows, WordIndex, only_here, word_spans
 
 #: Labelled rows that training takes at most, in the order of a hash of their doc_id.
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: QualityModel, columns: tuple[str, ...] = ("doc
                 scores = pa.array(shared.value.scores(_tables[0], texts), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(c.slice(begin, len(texts)) for c in batch.columns[:-1]), scores], names=schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias(unused(docs, "_text"))).mapInArrow(run, schema)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> QualityModel:
@@ -183,8 +183,6 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> D
 def accepted(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns."""
     model = fitted(docs, labels, rows)
-    name = "score"
-    while name in docs.columns:
-        name = "_" + name
+    name = unused(docs, "score")
     scored = score(docs, model, tuple(docs.columns), name)
     return scored.where(F.col(name) >= THRESHOLD).drop(name)

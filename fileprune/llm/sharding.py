@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileprune.llm.common import global_rank, text_crc32, unused
+from fileprune.llm.common import global_rank, text_crc32, unused, written
 
 ROUNDS = 6
 #: What each document takes in a shard besides its bytes.
@@ -116,6 +116,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 20240229) ->
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_OVERHEAD).alias("size"),
         text_crc32(F.col("text")).alias("text_crc32"),
     )
+    narrow = written(narrow, "sharding-rows")  # the texts are read once
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc()]
     placed = shard_rows(narrow, order, shards, seed)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

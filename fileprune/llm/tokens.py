@@ -26,6 +26,8 @@ from fileprune.llm.wavelet import ShardFile, dump
 SHARD_TOKENS = 1 << 21
 #: Chunks that a worker remembers: the library takes long over new ones.
 LIBRARY_REMEMBERED = 1_500_000
+#: The shards' starts, 16 bytes a shard, are broadcast up to so many shards.
+BROADCAST_SHARDS = 100_000
 SHARD_SCHEMA = "part int, shard int, n_docs long, n_tokens long, file binary"
 
 
@@ -49,7 +51,8 @@ class LibraryEncoder(PieceMemory):
             raise ValueError("not a plain byte-level tokenizer")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [x["content"] for x in kind["added_tokens"]]
+        self._path, self._whole = path, None
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.width = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
@@ -61,6 +64,17 @@ class LibraryEncoder(PieceMemory):
         for token, i in vocabulary.items():
             self._bytes[i] = len(token)  # a character of a token stands for one byte
 
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. One that holds an added token's string goes to the library as it is: that may cut it anywhere."""
+        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        if not odd:
+            return super().encode_batch(texts)
+        from tokenizers import Tokenizer
+
+        self._whole = self._whole or Tokenizer.from_file(self._path)
+        rest = iter(super().encode_batch([t for i, t in enumerate(texts) if i not in odd]))
+        return [np.array(self._whole.encode(t, add_special_tokens=False).ids, self.dtype) if i in odd else next(rest) for i, t in enumerate(texts)]
+
     def _learn_pieces(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 5_000):
             run = pieces[i : i + 5_000]
@@ -87,12 +101,13 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """The shard files of ``docs`` in ascending order of doc_id (nulls first; ties by text), each document followed by ``end_id``.
+    """The shard files of ``docs`` in ascending order of doc_id (nulls first; ties by a hash of the text), each document followed by ``end_id``.
 
     A null text is an empty one: its only id is ``end_id``. Repeated rows are kept. An empty table has no shards.
     """
     narrow = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    dealt = narrow.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # rows that share a doc_id are dealt out too
+    dealt = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -106,7 +121,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int
             ids = np.concatenate(held)
             known = np.array([d is not None for d in docs_held], bool)
             names = np.array([0 if d is None else d for d in docs_held], np.int64)
-            file = dump(ids, names, known, np.array(bounds, np.int64), encoder.width)
+            file = dump(ids, names, known, np.array(bounds, np.int64), encoder.width, end_id)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(docs_held)], pa.int64()), "n_tokens": pa.array([tokens], pa.int64()), "file": pa.array([file], pa.binary())})
 
         for batch in batches:
@@ -135,21 +150,54 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the shard files."""
+    """doc_id, start, n_tokens, ids_crc32, end_ids of every document, from the shard files.
+
+    The ids are put together from the bit planes. end_ids, how often the closing id occurs in the document, is the
+    difference of its ranks at the document's bounds; its last occurrence, by select, must be the shard's last id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_here("tokens", _encoders.clear)
         for batch in batches:
             for start, file in zip(batch.column("start").to_pylist(), batch.column("file")):
                 read = ShardFile(file.as_py())
-                ids, bounds = read.matrix.ids().astype("<u4"), read.bounds.tolist()
+                ids, bounds, matrix = read.matrix.ids().astype("<u4"), read.bounds.tolist(), read.matrix
+                if matrix.select(read.end_id, matrix.count(read.end_id) - 1) != len(ids) - 1:
+                    raise ValueError("a shard doesn't end with the closing id")
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array(read.doc_ids, pa.int64(), mask=~read.known),
                         "start": pa.array(read.bounds[:-1] + start, pa.int64()),
                         "n_tokens": pa.array(np.diff(read.bounds), pa.int64()),
                         "ids_crc32": pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])], pa.int64()),
+                        "end_ids": pa.array(np.diff(matrix.ranks(read.end_id, read.bounds)), pa.int64()),
+                    }
+                )
+
+    starts = written(shard_starts(shards), "shard-starts")
+    starts = F.broadcast(starts) if starts.count() <= BROADCAST_SHARDS else starts
+    return shards.join(starts, ["part", "shard"]).select("start", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, end_ids long")
+
+
+def token_occurrences(shards: DataFrame, token: int) -> DataFrame:
+    """(doc_id, start, position, n): each document that has ``token``, its first id, the first occurrence and how many there are.
+
+    Only the blocks of the planes that rank and select ask for are unpacked.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, file in zip(batch.column("start").to_pylist(), batch.column("file")):
+                read = ShardFile(file.as_py())
+                ranks = read.matrix.ranks(token, read.bounds) if read.matrix.count(token) else np.zeros(len(read.bounds), np.int64)
+                has = np.flatnonzero(np.diff(ranks))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": pa.array(read.doc_ids[has], pa.int64(), mask=~read.known[has]),
+                        "start": pa.array(read.bounds[has] + start, pa.int64()),
+                        "position": pa.array([read.matrix.select(token, int(ranks[i])) + start for i in has], pa.int64()),
+                        "n": pa.array(np.diff(ranks)[has], pa.int64()),
                     }
                 )
 
-    placed = shards.join(shard_starts(shards), ["part", "shard"]).select("start", "file")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.join(shard_starts(shards), ["part", "shard"]).select("start", "file").mapInArrow(run, "doc_id long, start long, position long, n long")

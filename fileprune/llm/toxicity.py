@@ -3,7 +3,8 @@
 A word's input is a hashed word vector plus the hashed vectors of its character n-grams (as UTF-8 bytes, with marks for
 its ends). Each window of WINDOW words, one every STRIDE words, is read in both directions; attention over the states
 gives the window's logit, and a document's logit is the largest of all its windows. Training knows labels of documents
-only: in each step the window with the largest logit stands for its document.
+only: in each step the window with the largest logit stands for its document, of the WINDOWS_SEEN that are looked at: the one
+that stood for it before, and others at random. Scoring looks at all windows.
 """
 
 from __future__ import annotations
@@ -203,6 +204,7 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 2) -> Tox
     one, place, row = np.unique(one, return_index=True, return_inverse=True)
     vocabulary = (starts[place], ends[place], one)
     common = _shared_buckets(row, np.repeat(np.arange(len(counts)), counts), vocabulary, data)
+    stood = np.full(len(rows), -1)  # the first word of the window that stood for a document last
     moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in model.dense.items()}
     sums = [np.full(len(x), 1e-3, np.float32) for x in (model.words, model.grams)]
     for step in range(1, steps + 1):
@@ -210,7 +212,10 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 2) -> Tox
         picked, owner = [], []
         for i, doc in enumerate(docs):
             begins = window_starts(int(counts[doc]))
-            begins = begins if len(begins) <= WINDOWS_SEEN else rng.choice(begins, WINDOWS_SEEN, replace=False)
+            if len(begins) > WINDOWS_SEEN:
+                begins = rng.choice(begins, WINDOWS_SEEN, replace=False)
+                if stood[doc] >= 0 and stood[doc] not in begins:
+                    begins[0] = stood[doc]
             picked += [(first[doc] + b, min(WINDOW, counts[doc])) for b in begins]
             owner += [i] * len(begins)
         picked, owner = np.array(picked), np.array(owner)
@@ -222,6 +227,7 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 2) -> Tox
         seen = model.logits(table, local, picked[:, 1])
         order = np.lexsort((-seen, owner))
         best = order[np.unique(owner[order], return_index=True)[1]]
+        stood[docs[owner[best]]] = picked[best, 0] - first[docs[owner[best]]]
         out, cache = model.logits(table, local[best], picked[best, 1], keep=True)
         y = labels[docs[owner[best]]]
         slope = ((1 / (1 + np.exp(-out)) - y) / len(best)).astype(np.float32)
@@ -323,7 +329,7 @@ def score(docs: DataFrame, model: ToxicityModel, columns: tuple[str, ...], name:
             for begin, texts in slices(batch.column(len(columns))):
                 yield pa.RecordBatch.from_arrays([*(c.slice(begin, len(texts)) for c in batch.columns[:-1]), pa.array(scorer.scores(texts), pa.float64())], names=schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias(unused(docs, "_text"))).mapInArrow(run, schema)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> ToxicityModel:

@@ -1,96 +1,146 @@
 """A wavelet matrix of token ids, and its file format.
 
 Plane by plane from the highest bit, the ids are split stably into those whose bit is 0 and those whose bit is 1. With
-the number of ones before each position (a sample every 512 bits and a count within the block) the matrix gives the id
+the number of ones before each position (kept for each block of a plane, counted within it) the matrix gives the id
 at a position, the number of occurrences of an id before a position, and the position of its k-th occurrence.
 
-A file holds one shard: a header, the documents' ids and bounds, then for each plane the bits, compressed, and the
-rank samples. Everything is little-endian.
+A file holds one shard: a header, the documents' ids and bounds, then for each plane the number of its zeros, the ones before
+each block, and the blocks, compressed one by one, so that a question unpacks only the blocks that it meets. Everything is
+little-endian.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import zstandard
 
-MAGIC = b"WVM1"
-_HEADER = struct.Struct("<4sIQI")
-BLOCK = 64  # bytes between two rank samples
+MAGIC = b"WVM2"
+_HEADER = struct.Struct("<4sIQQI")
+#: Bytes of a block of a plane.
+BLOCK = 1 << 14
+
+
+class Plane:
+    """The bits of one level. ``before``: ones before each block, and all; ``load`` gives a block's bytes, which are kept."""
+
+    def __init__(self, zeros: int, before: np.ndarray, load: Callable[[int], np.ndarray]):
+        self.zeros, self.before, self._load = zeros, before, load
+        self._kept: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def of(cls, packed: np.ndarray, length: int) -> Plane:
+        blocks = [packed[i : i + BLOCK] for i in range(0, len(packed), BLOCK)]
+        before = np.cumsum([0] + [int(np.bitwise_count(b).sum(dtype=np.int64)) for b in blocks])
+        return cls(length - int(before[-1]), before, blocks.__getitem__)
+
+    @property
+    def unpacked(self) -> int:
+        """How many blocks were asked for so far."""
+        return len(self._kept)
+
+    def block(self, number: int) -> np.ndarray:
+        if number not in self._kept:
+            self._kept[number] = self._load(number)
+        return self._kept[number]
+
+    def bytes(self) -> np.ndarray:
+        return np.concatenate([self.block(i) for i in range(len(self.before) - 1)]) if len(self.before) > 1 else np.zeros(0, np.uint8)
+
+    def bit(self, at: int) -> int:
+        return int(self.block(at // (8 * BLOCK))[at // 8 % BLOCK]) >> (7 - at % 8) & 1
+
+    def ones(self, at: int) -> int:
+        """Ones among the first ``at`` bits."""
+        number, byte = at // (8 * BLOCK), at // 8 % BLOCK
+        count = int(self.before[number])
+        if not at % (8 * BLOCK):
+            return count
+        data = self.block(number)
+        count += int(np.bitwise_count(data[:byte]).sum(dtype=np.int64))
+        return count + ((int(data[byte]) >> (8 - at % 8)).bit_count() if at % 8 else 0)
+
+    def ones_at(self, at: np.ndarray) -> np.ndarray:
+        """The same for many positions: each block that holds one is counted once."""
+        out, numbers = self.before[at // (8 * BLOCK)].astype(np.int64), at // (8 * BLOCK)
+        for number in np.unique(numbers[at % (8 * BLOCK) > 0]).tolist():
+            data, mine = self.block(number), np.flatnonzero((numbers == number) & (at % (8 * BLOCK) > 0))
+            counts = np.concatenate(([0], np.cumsum(np.bitwise_count(data), dtype=np.int64)))
+            byte, bits = at[mine] // 8 % BLOCK, at[mine] % 8
+            partial = np.bitwise_count(np.append(data, np.uint8(0))[byte].astype(np.uint16) >> (8 - bits).astype(np.uint16))
+            out[mine] += counts[byte] + partial
+        return out
+
+    def find(self, bit: int, k: int, length: int) -> int:
+        """Position of the k-th bit of that value, k from 0."""
+        numbers = np.arange(len(self.before))
+        seen = self.before if bit else np.minimum(numbers * 8 * BLOCK, length) - self.before
+        number = int(np.searchsorted(seen, k, side="right")) - 1
+        bits = np.unpackbits(self.block(number))
+        return number * 8 * BLOCK + int(np.flatnonzero(bits[: length - number * 8 * BLOCK] == bit)[k - int(seen[number])])
 
 
 class WaveletMatrix:
-    """``planes``: packed bits, highest first; ``zeros``: the number of zeros of each."""
+    """``planes``: one for each bit of an id, highest first."""
 
-    def __init__(self, length: int, planes: list[np.ndarray], zeros: list[int], samples: list[np.ndarray]):
-        self.length, self.planes, self.zeros, self.samples = length, planes, zeros, samples
+    def __init__(self, length: int, planes: list[Plane]):
+        self.length, self.planes = length, planes
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
         if len(ids) and int(ids.max()) >> width:
             raise ValueError("an id needs more bits")
         row = ids.astype(np.uint16 if width <= 16 else np.uint32)
-        planes, zeros, samples = [], [], []
+        planes = []
         for level in range(width - 1, -1, -1):
             bit = (row >> level & 1).astype(bool)
-            packed = np.packbits(bit)
-            planes.append(packed)
-            samples.append(_samples(packed))
-            zeros.append(len(row) - int(np.count_nonzero(bit)))
+            planes.append(Plane.of(np.packbits(bit), len(row)))
             after = np.empty_like(row)
-            np.compress(~bit, row, out=after[: zeros[-1]])
-            np.compress(bit, row, out=after[zeros[-1] :])
+            np.compress(~bit, row, out=after[: planes[-1].zeros])
+            np.compress(bit, row, out=after[planes[-1].zeros :])
             row = after
-        return cls(len(ids), planes, zeros, samples)
+        return cls(len(ids), planes)
 
     @property
     def width(self) -> int:
         return len(self.planes)
 
-    def _ones(self, level: int, at: int) -> int:
-        """Ones among the first ``at`` bits of a plane."""
-        block, byte = at // (8 * BLOCK), at // 8
-        plane = self.planes[level]
-        count = int(self.samples[level][block]) + int(np.bitwise_count(plane[block * BLOCK : byte]).sum())
-        return count + ((int(plane[byte]) >> (8 - at % 8)).bit_count() if at % 8 else 0)
-
-    def _select(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th bit of that value, k from 0."""
-        low, high = 0, self.length
-        while high - low > 1:
-            mid = (low + high) // 2
-            ones = self._ones(level, mid)
-            low, high = (mid, high) if (ones if bit else mid - ones) <= k else (low, mid)
-        return low
+    def _bits(self, token: int) -> list[int]:
+        return [token >> (self.width - 1 - level) & 1 for level in range(self.width)]
 
     def access(self, at: int) -> int:
         if not 0 <= at < self.length:
             raise IndexError(at)
         value = 0
-        for level in range(self.width):
-            bit = int(self.planes[level][at // 8]) >> (7 - at % 8) & 1
-            ones = self._ones(level, at)
-            at = self.zeros[level] + ones if bit else at - ones
+        for plane in self.planes:
+            bit, ones = plane.bit(at), plane.ones(at)
+            at = plane.zeros + ones if bit else at - ones
             value = value << 1 | bit
         return value
 
-    def _interval(self, token: int, end: int) -> tuple[int, int]:
+    def _begin(self, token: int) -> int:
+        """Where the run of ``token`` begins below the lowest plane."""
         begin = 0
-        for level in range(self.width):
-            a, b = self._ones(level, begin), self._ones(level, end)
-            if token >> (self.width - 1 - level) & 1:
-                begin, end = self.zeros[level] + a, self.zeros[level] + b
-            else:
-                begin, end = begin - a, end - b
-        return begin, end
+        for plane, bit in zip(self.planes, self._bits(token)):
+            ones = plane.ones(begin)
+            begin = plane.zeros + ones if bit else begin - ones
+        return begin
+
+    def ranks(self, token: int, ends: np.ndarray) -> np.ndarray:
+        """Occurrences of ``token`` among the first ``end`` ids, for each of ``ends``."""
+        at = np.asarray(ends, np.int64)
+        if token >> self.width:
+            return np.zeros(len(at), np.int64)
+        for plane, bit in zip(self.planes, self._bits(token)):
+            ones = plane.ones_at(at)
+            at = plane.zeros + ones if bit else at - ones
+        return at - self._begin(token)
 
     def rank(self, token: int, end: int) -> int:
         """Occurrences of ``token`` among the first ``end`` ids."""
-        if token >> self.width:
-            return 0
-        begin, stop = self._interval(token, end)
-        return stop - begin
+        return int(self.ranks(token, np.array([end]))[0])
 
     def count(self, token: int) -> int:
         return self.rank(token, self.length)
@@ -99,10 +149,9 @@ class WaveletMatrix:
         """Position of the k-th occurrence of ``token``, k from 0."""
         if not 0 <= k < self.count(token):
             raise IndexError(k)
-        at = self._interval(token, self.length)[0] + k
-        for level in range(self.width - 1, -1, -1):
-            bit = token >> (self.width - 1 - level) & 1
-            at = self._select(level, bit, at - self.zeros[level] if bit else at)
+        at = self._begin(token) + k
+        for plane, bit in zip(reversed(self.planes), reversed(self._bits(token))):
+            at = plane.find(bit, at - plane.zeros if bit else at, self.length)
         return at
 
     def occurrences(self, token: int) -> list[int]:
@@ -111,64 +160,59 @@ class WaveletMatrix:
     def ids(self) -> np.ndarray:
         """All ids: the planes are put together from the lowest up."""
         row = np.zeros(self.length, np.uint16 if self.width <= 16 else np.uint32)
-        for level in range(self.width - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.length).astype(bool)
+        for level, plane in zip(range(self.width), reversed(self.planes)):
+            bit = np.unpackbits(plane.bytes(), count=self.length).astype(bool)
             before = np.empty_like(row)
-            before[np.flatnonzero(~bit)] = row[: self.zeros[level]]
-            before[np.flatnonzero(bit)] = row[self.zeros[level] :]
-            row = before | (bit.astype(row.dtype) << row.dtype.type(self.width - 1 - level))
+            before[np.flatnonzero(~bit)] = row[: plane.zeros]
+            before[np.flatnonzero(bit)] = row[plane.zeros :]
+            row = before | (bit.astype(row.dtype) << row.dtype.type(level))
         return row
 
 
-def _samples(packed: np.ndarray) -> np.ndarray:
-    """Ones before each block, and before the end."""
-    whole = np.zeros(-(-len(packed) // BLOCK) * BLOCK, np.uint8)
-    whole[: len(packed)] = np.bitwise_count(packed)
-    return np.concatenate(([0], whole.reshape(-1, BLOCK).sum(axis=1, dtype=np.uint64).cumsum())).astype(np.uint32)
+def _framed(block: bytes) -> list[bytes]:
+    return [struct.pack("<Q", len(block)), block]
 
 
-def dump(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, bounds: np.ndarray, width: int) -> bytes:
+def dump(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, bounds: np.ndarray, width: int, end_id: int) -> bytes:
     """The file of a shard. ``known``: whether a doc_id is not null; ``bounds``: where the documents begin, and the end."""
     matrix = WaveletMatrix.build(ids, width)
     press = zstandard.ZstdCompressor(level=1)
-    parts = [_HEADER.pack(MAGIC, width, len(ids), len(doc_ids))]
+    parts = [_HEADER.pack(MAGIC, width, len(ids), len(doc_ids), end_id)]
     for block in (doc_ids.astype("<i8").tobytes(), known.astype(np.uint8).tobytes(), bounds.astype("<u8").tobytes()):
         parts += _framed(press.compress(block))
-    for level in range(width):
-        parts.append(struct.pack("<Q", matrix.zeros[level]))
-        parts += _framed(press.compress(matrix.planes[level].tobytes()))
-        parts += _framed(press.compress(matrix.samples[level].astype("<u4").tobytes()))
+    for plane in matrix.planes:
+        blocks = [press.compress(plane.block(i).tobytes()) for i in range(len(plane.before) - 1)]
+        parts += _framed(plane.before.astype("<u8").tobytes())
+        parts += _framed(np.array([len(b) for b in blocks], "<u4").tobytes())
+        parts += blocks
     return b"".join(parts)
 
 
-def _framed(block: bytes) -> list[bytes]:
-    return [struct.pack("<Q", len(block)), block]
-
-
 class ShardFile:
-    """A shard read from its bytes."""
+    """A shard read from its bytes: the documents at once, blocks of the planes when they are asked for."""
 
     def __init__(self, data: bytes):
-        magic, width, length, docs = _HEADER.unpack_from(data)
+        magic, width, length, docs, self.end_id = _HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix file")
         at, press = _HEADER.size, zstandard.ZstdDecompressor()
 
-        def block() -> bytes:
+        def framed() -> bytes:
             nonlocal at
             (size,) = struct.unpack_from("<Q", data, at)
             at += 8 + size
-            return press.decompress(data[at - size : at])
+            return data[at - size : at]
 
-        self.doc_ids = np.frombuffer(block(), "<i8")
-        self.known = np.frombuffer(block(), np.uint8).astype(bool)
-        self.bounds = np.frombuffer(block(), "<u8").astype(np.int64)
+        self.doc_ids = np.frombuffer(press.decompress(framed()), "<i8")
+        self.known = np.frombuffer(press.decompress(framed()), np.uint8).astype(bool)
+        self.bounds = np.frombuffer(press.decompress(framed()), "<u8").astype(np.int64)
         if len(self.doc_ids) != docs:
             raise ValueError("a damaged wavelet matrix file")
-        planes, zeros, samples = [], [], []
+        planes = []
         for _ in range(width):
-            zeros.append(struct.unpack_from("<Q", data, at)[0])
-            at += 8
-            planes.append(np.frombuffer(block(), np.uint8))
-            samples.append(np.frombuffer(block(), "<u4"))
-        self.matrix = WaveletMatrix(length, planes, zeros, samples)
+            before = np.frombuffer(framed(), "<u8").astype(np.int64)
+            sizes = np.frombuffer(framed(), "<u4").astype(np.int64)
+            starts = at + np.append(0, np.cumsum(sizes))
+            at = int(starts[-1])
+            planes.append(Plane(length - int(before[-1]), before, lambda i, s=starts.tolist(): np.frombuffer(press.decompress(data[s[i] : s[i + 1]]), np.uint8)))
+        self.matrix = WaveletMatrix(length, planes)

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import zlib
 
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 
 from fileprune.llm import bpe, chat, flac, media, mixing, nearest, quality, sharding, simhash, tokens, toxicity
 from fileprune.llm.graph import components
+from fileprune.llm import wavelet
 from fileprune.llm.wavelet import WaveletMatrix
 from fileprune.llm.words import BY_WHITE_SPACE, WordIndex, word_spans
 
@@ -60,6 +62,30 @@ def test_sharding(spark):
     assert sharding.shard_documents(docs_of(spark, []), 4).count() == 0
 
 
+def test_sharding_against_brute_force(spark):
+    """Shard and slot are those of the row's number in the order of doc_id, however the table is partitioned."""
+    rng = random.Random(12)
+    rows = [(i * 7 % 1000, f"text {i}", "hot" if i % 3 else "a") for i in rng.sample(range(1000), 900)]
+
+    def place(row, n, half):
+        keys = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, sharding.ROUNDS)
+        while True:
+            left, right = row >> half, row & (1 << half) - 1
+            for key in keys.tolist():
+                x = (right ^ key) * 0x9E3779B97F4A7C15 % 2**64
+                x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64
+                left, right = right, left ^ (x ^ x >> 29) & (1 << half) - 1
+            row = left << half | right
+            if row < n:
+                return row
+
+    order = sorted(i for i, _, _ in rows)
+    want = {i: divmod(place(k, 900, 5), 40)[::-1] for k, i in enumerate(order)}
+    for parts in (1, 13):
+        got = sharding.shard_documents(docs_of(spark, rows).repartition(parts)).collect()
+        assert {r.doc_id: (r.shard, r.slot) for r in got} == want
+
+
 def words(text):
     return len([w for w in __import__("re").split("[\x20\x09-\x0d]+", text or "") if w])
 
@@ -77,9 +103,46 @@ def test_mixing(spark):
     assert math.isclose(sum(t for _, t in by_target), total, rel_tol=1e-9) or any(t == 3 * s for s, t in by_target)
     for (_, target), rows_of in by_target.items():
         assert abs(sum(r.taken for r in rows_of) - target) <= max(r["size"] for r in rows_of)
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mixed_sizes(docs_of(spark, rows)).collect()), key=str)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mixed_sizes(docs_of(spark, rows).repartition(7)).collect()), key=str)
     frame = docs_of(spark, rows, extra=True)
-    assert mixing.emitted(frame).columns == frame.columns
+    mixed = mixing.emitted(frame)
+    assert mixed.columns == frame.columns
+    taken = {}  # repeated rows are interchangeable, so they are held against each other together
+    for r in got:
+        taken[r.doc_id, r["size"]] = taken.get((r.doc_id, r["size"]), 0) + r.taken
+    emitted = {}
+    for r in mixed.collect():
+        emitted[r.doc_id, words(r.text)] = emitted.get((r.doc_id, words(r.text)), 0) + words(r.text)
+    assert emitted == {k: v for k, v in taken.items() if v or k in emitted}
+
+
+def test_mixing_of_one_hot_source(spark):
+    """A third of the rows in one source, ties and repeated rows: the crossings of one seeded offset, counted one by one."""
+    rng = random.Random(2)
+    rows = [(i % 500, "w " * (rng.choice([1, 5, 5, 40]) + (3000 if i % 97 == 0 else 0)), "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(900)]
+    got = mixing.mixed_sizes(docs_of(spark, rows)).collect()
+    by_source, sources = {}, {}
+    for i, text, source in rows:
+        by_source.setdefault(source, []).append((-words(text), i))
+    for r in got:
+        sources.setdefault((r.source_size, r.target), []).append(r)
+    for source, docs in by_source.items():
+        docs.sort()
+        size = -sum(s for s, _ in docs)
+        ((_, target), mine), = [(k, v) for k, v in sources.items() if k[0] == size]
+        at = int(hashlib.md5(f"{mixing.SEED}:0{source}".encode()).hexdigest()[:8], 16) / 2**32
+        step, large, want, taken = target / size, min(mixing.LARGEST, len(docs) // 4), [], 0
+        for k, (s, i) in enumerate(docs):
+            if k == large:
+                rest = size + sum(s for s, _ in docs[:large])
+                at, step = at + step * large, max(0, min(3, (target - taken) / rest))
+            begin = at + step * (k if k < large else k - large)
+            copies = math.floor(at + step * ((k if k < large else k - large) + 1)) - math.floor(begin)
+            taken += copies * -s
+            want.append((i, -s, copies * -s))
+        assert sorted((r.doc_id, r["size"], r.taken) for r in mine) == sorted(want)
+        drawn = sum(r.taken for r in sorted(mine, key=lambda r: (-r["size"], r.doc_id))[:large])
+        assert abs(taken - target) <= max(max(-s for s, _ in docs[large:]), drawn - target)
     assert mixing.mixed_sizes(docs_of(spark, [])).count() == 0
 
 
@@ -315,7 +378,7 @@ def test_near_duplicates_with_distant_fingerprints(spark):
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.standard_normal(16)]) for i in range(300)]
-    rows += [(400, rows[0][1]), (50, None), (100, [0.0] * 16), (150, [float("nan")] + [1.0] * 15), (200, [None] + [1.0] * 15), (None, [1.0] * 16), (250, [1e200] * 16), (251, [1.0, 2.0])]
+    rows += [(400, rows[0][1]), (50, None), (100, [0.0] * 16), (150, [float("nan")] + [1.0] * 15), (200, [None] + [1.0] * 15), (None, [1.0] * 16), (350, [1e200] * 16), (251, [1.0, 2.0])]
     rows = [r for r in rows if r[0] not in (50, 100, 150, 200) or r[1] is None or not all(isinstance(x, float) and x == x and x for x in r[1][:2])] + [(500, rows[3][1])]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
     got = {}
@@ -326,11 +389,35 @@ def test_nearest(spark):
         if q % 50 == 0:
             scores = sorted(((-float(v / np.abs(v).max() @ (w / np.abs(w).max()) / np.linalg.norm(v / np.abs(v).max()) / np.linalg.norm(w / np.abs(w).max())), i) for i, w in good if i != q))[:5]
             found = sorted(got[q])
-            if q != 250:  # its squares overflow
-                assert [i for _, i, _ in found] == [i for _, i in scores] and np.allclose([s for *_, s in found], [-s for s, _ in scores])
+            assert [i for _, i, _ in found] == [i for _, i in scores] and np.allclose([s for *_, s in found], [-s for s, _ in scores])
     assert nearest.search(frame.limit(0)).count() == 0
 
 
+def test_nearest_of_any_magnitude_and_dimension(spark, monkeypatch):
+    """Vectors of 1e-170 and 1e170, and of 4,096 dimensions, over several slabs, blocks and tiles."""
+    monkeypatch.setattr(nearest, "SLAB_NUMBERS", 60_000)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(4096)
+    rows = [(i, (base + rng.standard_normal(4096) * 0.01) * (1e-170 if i % 3 == 0 else 1e170 if i % 3 == 1 else 1)) for i in range(160)]
+    rows += [(1000 + i, rng.standard_normal(8) * (1e-308 if i % 2 else 1e300)) for i in range(120)] + [(2000, [5e-324, 0.0]), (2001, [5e-324, 5e-324]), (2002, [1e308, 0.0])]
+    rows = [(i, [float(x) for x in v]) for i, v in rows]
+    got = {}
+    for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    exact = {}
+    for i, v in rows:
+        v = np.array(v, np.longdouble)
+        exact[i] = (v / np.abs(v).max()).astype(np.longdouble)
+    for q, v in rows:
+        if q % 50 == 0:
+            scores = sorted((-float(exact[q] @ exact[i] / np.sqrt((exact[q] @ exact[q]) * (exact[i] @ exact[i]))), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+            found = sorted(got.pop(q))
+            assert np.allclose([s for *_, s in found], [-s for s, _ in scores], rtol=0, atol=1e-12)
+            assert [i for _, i, _ in found] == [i for _, i in scores]
+    assert not got
+
+
 def test_wavelet():
     ids = np.array([3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 0, 15] * 90, np.uint16)
     w = WaveletMatrix.build(ids, 4)
@@ -343,9 +430,24 @@ def test_wavelet():
         w.select(7, 0)
 
 
+def test_shard_file_unpacks_what_it_is_asked_for(monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    ids = rng.zipf(1.3, 20_000) % 1000
+    bounds = np.array([0, 5, 5000, 5000, 20_000])
+    file = wavelet.dump(ids, np.arange(4), np.ones(4, bool), bounds, 10, 7)
+    read = wavelet.ShardFile(file)
+    assert read.matrix.access(1234) == ids[1234] and sum(p.unpacked for p in read.matrix.planes) <= 2 * 10
+    assert read.end_id == 7 and (read.matrix.ranks(3, bounds) == [(ids[:b] == 3).sum() for b in bounds]).all()
+    for t in (0, 1, 2, 500, 999):
+        assert read.matrix.occurrences(t) == np.flatnonzero(ids == t).tolist()
+        assert read.matrix.rank(t, 12_345) == (ids[:12_345] == t).sum()
+    assert (wavelet.ShardFile(file).matrix.ids() == ids).all()
+
+
 def test_tokens(spark, monkeypatch):
     library = Tokenizer.from_file(LIBRARY)
-    library.encode_special_tokens = True
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     monkeypatch.setattr(tokens, "SHARD_TOKENS", 50)
     shards = tokens.write_shards(docs_of(spark, DOCS + [(70, "a <|endoftext|> b", "a")], extra=True), LIBRARY, shard_tokens=50)
     assert shards.count() > 1
@@ -354,8 +456,10 @@ def test_tokens(spark, monkeypatch):
     at = 0
     for r, (name, text, _) in zip(got, want, strict=True):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (name, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.end_ids) == (name, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids.count(0))
         at += len(ids)
+    found = {(r.doc_id, r.position - r.start, r.n) for r in tokens.token_occurrences(shards, 50256).collect()}
+    assert found == {(70, 2, 1)}
     assert tokens.read_documents(tokens.write_shards(docs_of(spark, []), LIBRARY)).count() == 0
 
 
@@ -374,7 +478,7 @@ def test_bpe(spark):
     encoder = bpe.text_encoder(RANKS, public_tokenizers.PATTERN)
     assert [x.tolist() for x in encoder.encode_batch(texts)] == [known.encode_ordinary(t) for t in texts]
     library, want = tokens.library_encoder(LIBRARY), Tokenizer.from_file(LIBRARY)
-    want.encode_special_tokens = True
+    texts += ["<|endoftext|>", " x<|endoftext|>y  <|endoftext|>", "<|endoftext", "|endoftext|>"]
     assert [x.tolist() for x in library.encode_batch(texts)] == [want.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -401,6 +505,9 @@ def test_flac():
                 data = flac.encode(x, lpc, splits)
                 stream = flac.FlacStream(data)
                 assert (stream.verified() == x).all() and (stream.read(n // 3, n // 4) == x[n // 3 : n // 3 + n // 4]).all()
+    known = bytes.fromhex("664c6143800000221000100000001f00001f07d0007000000018f8f9e396f5cbcfc6dc807f9977906b32fff868020017e944004f6f313d1047d227cb6d090831452bdc2822228057a3")
+    # the third example stream of RFC 9639: mono, 8 bits, a linear predictor of order 3
+    assert flac.FlacStream(known).verified().tolist() == [0, 79, 111, 78, 8, -61, -90, -68, -13, 42, 67, 53, 13, -27, -46, -38, -12, 14, 24, 19, 6, -4, -5, 0]
     data = bytearray(flac.encode((60 * np.sin(np.arange(9000) / 9)).astype(np.int8)))
     data[len(data) // 2] ^= 4
     with pytest.raises(flac.FlacError):
@@ -408,13 +515,25 @@ def test_flac():
 
 
 def test_media(spark):
+    got = {str((r.doc_id, r.n_bytes)): r for r in media.described_documents(docs_of(spark, extra=True)).collect()}
+    for i, t, _ in DOCS:
+        data = (t or "").encode()
+        padded = data + bytes(-len(data) % 64 if data else 64)
+        r, stream, x = got[str((i, len(data)))], flac.encode(np.array([b - 128 for b in padded], np.int8)), [b - 128 for b in padded]
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.n_blocks) == (len(stream), hashlib.sha256(stream).hexdigest(), -(-len(padded) // flac.BLOCK))
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert r.feature == f"ms={len(x) // 8};peak={max(map(abs, x))};sum={sum(x)};energy={sum(v * v for v in x)};crossings={crossings};permille={len(stream) * 1000 // len(x)}"
     stored = media.store_documents(docs_of(spark, extra=True))
-    got = media.describe(stored).collect()
-    want = sorted((str(i), len((t or "").encode()), hashlib.sha256(media.payload(t or "")).hexdigest(), zlib.crc32(media.payload(t or "")[-64:])) for i, t, _ in DOCS)
-    assert sorted((str(r.doc_id), r.n_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
-    blocks = media.pcm_blocks(stored.where("doc_id = 4")).orderBy("block").collect()
-    assert b"".join(b.pcm for b in blocks) == media.payload(LONG) and [b.sample_offset for b in blocks] == [flac.BLOCK * i for i in range(len(blocks))]
-    assert media.describe(media.store_documents(docs_of(spark, []))).count() == 0
+    (row,) = media.pcm_blocks(stored.where("doc_id = 4")).collect()
+    assert b"".join(b.pcm for b in row.blocks) == media.payload(LONG) and [b.sample_offset for b in row.blocks] == [flac.BLOCK * i for i in range(len(row.blocks))]
+    blocks = [b.asDict() for b in row.blocks]
+    assert media.samples_between(blocks, 4000, 9000) == media.payload(LONG)[4000:9000] and media.samples_between(blocks, 70, 70) == b""
+    nothing = spark.createDataFrame([(1, 3, None)], "doc_id long, n_bytes long, media binary")
+    assert media.describe(media.pcm_blocks(nothing)).first().payload_bytes is None
+    with pytest.raises(Exception, match="no stream marker"):
+        media.pcm_blocks(spark.createDataFrame([(1, 3, bytearray(b"nonsense"))], "doc_id long, n_bytes long, media binary")).collect()
+    assert media.described_documents(docs_of(spark, [])).count() == 0
 
 
 def labelled(rng, n, marks):
@@ -521,6 +640,133 @@ def test_chat_quotes_another_conversation(spark):
     assert (got[5, 1].quoted_conv, got[5, 1].quoted_turn) == (1, 3)
 
 
+def brute_chat(rows):
+    """Links by comparing every quotation with every message: conv_id, turn -> (n_quotes, n_linked, quoted)."""
+    import re
+
+    norm = lambda t: re.sub(r"^\W+|\W+$", "", " ".join(t.lower().split()))
+    parts = lambda t: [n for n in dict.fromkeys(map(norm, [t, *re.split(r"\n\s*\n", t), *t.splitlines()])) if n]
+    cut = {(c, t): chat.passages(text) for c, t, _, text in rows}
+    own = {k: set(parts(mine)) for k, (mine, _) in cut.items()}
+    out = {}
+    for (c, t), (_, quoted) in cut.items():
+        linked = []
+        for number, (level, passage) in enumerate(quoted):
+            for at, part in enumerate(parts(passage)):
+                before = [k for k in own if k[0] == c and k[1] < t and part in own[k]]
+                other = [k for k in own if k[0] != c and part in own[k] and len(part.split()) >= chat.LEAST_WORDS]
+                if before or other:
+                    linked.append(((level, number, at), max(before) if before else min(other)))
+        out[c, t] = (len(quoted), len({k[1] for k, _ in linked}), min(linked)[1] if linked else (None, None))
+    return out
+
+
+def test_chat_against_brute_force(spark):
+    """Generated conversations with nested quotations, short answers that everybody gives, and quotations of other conversations."""
+    rng = random.Random(21)
+    rows, said = [], ["Yes.", "thank you", "the old mill by the river is closed now"]
+    for c in range(40):
+        for t in range(rng.randrange(1, 9)):
+            lines = []
+            for _ in range(rng.randrange(3)):
+                marks = rng.choice(["> ", ">> ", "> > ", ">>> "])
+                lines += [marks + x for x in rng.choice(said).splitlines()]
+                if rng.random() < 0.4:
+                    lines.append(f"{rng.choice('abc')} answer number {rng.randrange(30)} of all")
+            mine = "\n".join(rng.choice(["first thing", "second thing here", "Yes.", f"a longer line {rng.randrange(60)} of words"]) for _ in range(rng.randrange(1, 4)))
+            lines.append(mine)
+            said.append(mine)
+            rows.append((c, t, "user", "\n".join(lines)))
+    rows.append((99, 0, "user", "\n".join(f"{'>' * (i % 5)} line {i} of a very long text" for i in range(30_000))))
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, (r.quoted_conv, r.quoted_turn)) for r in chat.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    want = brute_chat(rows[:-1])
+    assert {k: got[k] for k in want} == want and any(q[0] == k[0] for k, (*_, q) in want.items()) and any(q[0] not in (None, k[0]) for k, (*_, q) in want.items())
+    assert got[99, 0][0] == 24_000
+
+
+def test_toxicity_against_brute_force():
+    """Scores are the largest logit of all windows, each read step by step by a plain forward pass."""
+    rng = random.Random(13)
+    model = toxicity.train([(t, y) for t, y in ((r[1], int(r[0] % 3 == 0)) for r in labelled(rng, 60, ["grumpt"]))], steps=30)
+    texts = ["", " \n", "one", "calm grumpter walk " * 3, " ".join(rng.choice(["calm", "grumpting", "stone", "élan", "漢字"]) for _ in range(150)), LONG[:2000]]
+    w = {k: v.astype(np.float64) for k, v in model.dense.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        data = np.frombuffer(word.lower().encode(), np.uint8)
+        x, _ = model.inputs(data, np.array([0]), np.array([len(data)]), WordIndex(16).hashes(data, np.array([0]), BY_WHITE_SPACE)[0])
+        return x[0].astype(np.float64)
+
+    def logit(vectors):
+        n, h, states = len(vectors), toxicity.HIDDEN, {}
+        for d in "fb":
+            state, out = np.zeros(h), [None] * n
+            for t in range(n) if d == "f" else reversed(range(n)):
+                x, u = vectors[t] @ w[f"w{d}"] + w[f"b{d}"], state @ w[f"u{d}"]
+                r, z = sig(x[:h] + u[:h]), sig(x[h : 2 * h] + u[h : 2 * h])
+                new = np.tanh(x[2 * h :] + r * (u[2 * h :] + w[f"c{d}"]))
+                state = (1 - z) * new + z * state
+                out[t] = state
+            states[d] = out
+        both = np.array([np.concatenate(x) for x in zip(states["f"], states["b"])])
+        weight = np.exp(np.tanh(both @ w["a"]) @ w["v"])
+        return float((weight / weight.sum()) @ both @ w["o"] + w["bias"][0])
+
+    for text, score in zip(texts, toxicity.Scorer(model).scores(texts)):
+        split = text.lower().split()
+        known = {x: vector(x) for x in set(split)}
+        begins = sorted({*range(0, max(1, len(split) - toxicity.WINDOW), toxicity.STRIDE), max(0, len(split) - toxicity.WINDOW)}) if split else []
+        best = max((logit([known[x] for x in split[b : b + toxicity.WINDOW]]) for b in begins), default=-35.0)
+        assert abs(score - sig(best)) < 1e-4
+
+
+def test_quality_against_brute_force():
+    """A score is the bias and, for every n-gram of every word one by one, its weight times its share of the words."""
+    rng = np.random.default_rng(14)
+    model = quality.QualityModel(rng.standard_normal(1 << quality.BUCKET_BITS).astype(np.float32), 0.3)
+    texts = ["", " \t", "one", "Ab ab AB 12 12 $$$ élan ÉLAN 漢字 a--b" * 5, "same same same", LONG[:3000], "a\n\nb  c\r\n d"]
+    mask = (1 << 64) - 1
+    bucket = lambda h, kind: (lambda x: ((x ^ x >> 29) * 0xBF58476D1CE4E5B9 & mask) >> 64 - quality.BUCKET_BITS)((h ^ kind) * 0x9E3779B97F4A7C15 & mask)
+    paired = lambda a, b: (a * 0xD6E8FEB86659FD93 + b) & mask
+    for text, score in zip(texts, model.scores(quality.WordTable(), texts)):
+        split = __import__("re").findall("[^\x20\x09-\x0d]+", text)
+        surface = []
+        for word in split:
+            data = np.frombuffer(word.encode(), np.uint8)
+            surface.append(int(WordIndex(16).hashes(data, np.array([0]), BY_WHITE_SPACE)[0][0]))
+        form = [xxhash.xxh64_intdigest(quality.shape(x), 2) for x in split]
+        found = [bucket(s, 1) for s in surface] + [bucket(f, 2) for f in form] + [bucket(paired(a, b), 3) for a, b in zip(surface, surface[1:])]
+        found += [bucket(paired(a, b), 4) for a, b in zip(form, form[1:])] + [bucket(paired(paired(a, b), c), 5) for a, b, c in zip(form, form[1:], form[2:])]
+        found += [bucket(0, 6) for a, b in zip(split, split[1:]) if a == b]
+        total = sum(float(model.weights[x]) for x in found)
+        assert abs(score - 1 / (1 + math.exp(-max(-35, min(35, 0.3 + quality.SCALE * total / max(1, len(split))))))) < 1e-6
+
+
+def test_quality_with_clashing_names(spark):
+    frame = docs_of(spark).selectExpr("*", "1 as Score", "2 as __TEXT")
+    labels = spark.createDataFrame([(0, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.accepted(frame, labels).columns == frame.columns == toxicity.accepted(frame, labels).columns
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    """Off a local master no machine-local folder takes the place of spark.checkpoint.dir; release deletes this application's tables only."""
+    from types import SimpleNamespace
+
+    from fileprune.llm import common
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="app"))
+    with pytest.raises(ValueError):
+        common.scratch_root(bare)
+    common.written(spark.range(3), "kept")
+    assert spark.sparkContext.applicationId in common.scratch_root(spark)
+    with common.Scratch(spark, "going") as scratch:
+        held = scratch.written(spark.range(5), "x")
+        assert held.count() == 5
+        path = scratch.path.removeprefix("file://")
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
