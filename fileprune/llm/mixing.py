@@ -8,7 +8,7 @@ document's rank in its source is all that it needs.
 A few very large documents can move a source's words by more than all the others. So the LARGEST ones are
 drawn first, and the others share what those leave over of the target: their step is (target - words taken) / (words of the
 others), on average over offsets the same as before. As documents come in the order of size, the words taken miss the target by
-no more than the size of the largest of the others, or what the largest alone take beyond the target.
+no more than the size of the largest of the others, unless these can't make up for the rest: their step lies between 0 and MOST.
 """
 
 from __future__ import annotations
