@@ -35,7 +35,6 @@ def _fraction(text: str) -> float:
 
 SETTINGS: dict[str, tuple[Any, Callable[[str], Any]]] = {
     "largeIndexLimit": (500_000, _positive(int)),
-    "stagingConsolidationThreshold": (50, _positive(int)),
     "indexRepartitionCount": (None, _positive(int)),
     "debug": (False, _bool),
     "repartitionDataFiles": (False, _bool),
@@ -45,7 +44,7 @@ SETTINGS: dict[str, tuple[Any, Callable[[str], Any]]] = {
     "lockRefreshInterval": (1, int),
     "autoCompactThreshold": (None, int),
     "autoBloomFpr": (0.01, _fraction),
-    "batchedUpdate": (False, _bool),
+    "batchedUpdate": (None, _bool),
 }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import json
 import logging
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +36,11 @@ from fileprune.sources.lock import IndexLock
 from fileprune.sources.paths import file_list_name, index_path
 
 log = logging.getLogger(__name__)
+#: Joins whose result has no values but those of both sides.
+PROBED = {"inner", "leftsemi", "left_semi", "semi"}
 #: Names that the stored tables use themselves.
+#: Where ``batchedUpdate`` is unset, updates of more bytes are cut into batches.
+BATCHED_BYTES = 256 << 20
 RESERVED = {"filename", "file_size", "n_rows", "value", "max_ts", "_version", reader.FILE}
 
 
@@ -111,6 +116,14 @@ class FileIndex:
     def _save(self, meta: IndexMetadata) -> None:
         self.files.replace(self._meta_path, meta.dump())
 
+    def _change(self, apply: Callable[[IndexMetadata], None]) -> None:
+        """Apply a change to the metadata as stored now, which another handle may have changed since this one read it."""
+        with self._lock("metadata").held():
+            meta = self.refreshed()
+            apply(meta)
+            self._save(meta)
+            self._meta = meta
+
     @property
     def metadata(self) -> IndexMetadata:
         return self._meta
@@ -135,6 +148,7 @@ class FileIndex:
             raise ValueError(f"{column} is a reserved name")
         if "." in column:
             raise ValueError(f"{column}: only top-level columns can be indexed")
+        self._meta = self.refreshed()
         now = self._meta.kinds().get(column)
         if now == kind:
             return False
@@ -147,21 +161,18 @@ class FileIndex:
     def add_index(self, column: str) -> None:
         """Exact values of each file."""
         if self._define(column, "regular"):
-            self._meta.indexes.append(column)
-            self._save(self._meta)
+            self._change(lambda meta: meta.indexes.append(column))
 
     def add_bloom_index(self, column: str, fpr: float = 0.01) -> None:
         if not 0 < fpr < 1:
             raise ValueError("fpr must lie between 0 and 1")
         if self._define(column, "bloom"):
-            self._meta.bloom[column] = fpr
-            self._save(self._meta)
+            self._change(lambda meta: meta.bloom.update({column: fpr}))
 
     def add_range_index(self, column: str) -> None:
         """Least and greatest value of each file."""
         if self._define(column, "range"):
-            self._meta.range.append(column)
-            self._save(self._meta)
+            self._change(lambda meta: meta.range.append(column))
 
     def add_temporal_index(self, column: str, ts_column: str) -> None:
         """Latest timestamp of each value in each file; joins on the column see latest versions only."""
@@ -170,16 +181,14 @@ class FileIndex:
         if self._define(column, "temporal"):
             if not field_exists(self.schema, ts_column):
                 raise ColumnNotFoundException(f"{ts_column} isn't in the schema")
-            self._meta.temporal[column] = ts_column
-            self._save(self._meta)
+            self._change(lambda meta: meta.temporal.update({column: ts_column}))
 
     def add_computed_index(self, name: str, expression: str) -> None:
         """Values of a Spark SQL expression."""
         if expression is None or not expression.strip():
             raise ValueError("an expression must not be blank")
         if self._define(name, "computed", top_level=False):
-            self._meta.computed[name] = expression
-            self._save(self._meta)
+            self._change(lambda meta: meta.computed.update({name: expression}))
 
     def add_exploded_field_index(self, array_column: str, field_path: str, as_column: str) -> None:
         """Values of a field of an array's structs, joined under an alias."""
@@ -193,8 +202,7 @@ class FileIndex:
                 raise ValueError(f"{array_column} isn't an array")
             if not isinstance(kind.elementType, T.StructType) or not field_exists(kind.elementType, field_path):
                 raise ColumnNotFoundException(f"the elements of {array_column} have no field {field_path}")
-            self._meta.exploded.append({"array_column": array_column, "field_path": field_path, "as_column": as_column})
-            self._save(self._meta)
+            self._change(lambda meta: meta.exploded.append({"array_column": array_column, "field_path": field_path, "as_column": as_column}))
 
     def select(self, *columns: str) -> FileIndex:
         """A handle whose joins and scans give these columns only."""
@@ -231,33 +239,41 @@ class FileIndex:
     def update(self) -> int:
         """Index what isn't indexed yet, after filling in columns that were added since. Returns the number of files read."""
         with self._lock("update").held(heartbeat=True) as lock:
-            self._meta = meta = self._merged(self.refreshed())
+            self._meta = meta = self.refreshed()
             sizes: dict[str, int] = {}
             if self.columns_to_backfill():
                 sizes |= {r["filename"]: r["file_size"] for r in self.tables.stats().read().select("filename", "file_size").collect()}
             sizes |= {r["filename"]: r["file_size"] for r in self._unindexed().select("filename", "file_size").collect()}
-            if sizes:
-                batches = [sorted(sizes)]
-                if setting(self.spark, "batchedUpdate"):
-                    batches = create_batches(build.analyze(self.spark, meta, sorted(sizes)), setting(self.spark, "largeIndexLimit"))
-                for i, batch in enumerate(batches, 1):
-                    build.build_batch(self.spark, meta, self.tables, {f: sizes[f] for f in batch})
-                    meta.batches_since_compact += 1
-                    if (every := setting(self.spark, "lockRefreshInterval")) and i % max(1, every) == 0:
-                        lock.refresh(strict=True)
-                meta.built = sorted(self.indexes)
-                meta.total_size = self._summed_size()
-                limit = setting(self.spark, "autoCompactThreshold")
-                if limit is not None and meta.batches_since_compact >= limit:
-                    self._compact(meta)
-                elif limit is None and meta.batches_since_compact >= 50:
-                    log.warning("%s: %d batches since the last compaction", self.name, meta.batches_since_compact)
-            self._save(meta)
+            if not sizes:
+                return 0
+            batches = self._batches(meta, sizes)
+            for i, batch in enumerate(batches, 1):
+                build.build_batch(self.spark, meta, self.tables, {f: sizes[f] for f in batch})
+                if (every := setting(self.spark, "lockRefreshInterval")) and i % max(1, every) == 0:
+                    lock.refresh(strict=True)
+            count = meta.batches_since_compact + len(batches)
+            limit = setting(self.spark, "autoCompactThreshold")
+            if limit is not None and count >= limit:
+                self._compact(meta)
+                count = 0
+            elif limit is None and count >= 50:
+                log.warning("%s: %d batches since the last compaction", self.name, count)
+            total = self._summed_size()
+
+            def done(stored: IndexMetadata) -> None:
+                stored.built = sorted(set(meta.kinds()) & set(stored.kinds()))
+                stored.auto_bloom = list(dict.fromkeys([*stored.auto_bloom, *meta.auto_bloom]))
+                stored.total_size, stored.batches_since_compact = total, count
+
+            self._change(done)
             return len(sizes)
 
-    def _merged(self, stored: IndexMetadata) -> IndexMetadata:
-        stored.auto_bloom = list(dict.fromkeys([*stored.auto_bloom, *self._meta.auto_bloom]))
-        return stored
+    def _batches(self, meta: IndexMetadata, sizes: dict[str, int]) -> list[list[str]]:
+        """Files that are indexed together: by their distinct values where ``batchedUpdate`` says so or they have over BATCHED_BYTES, else all."""
+        asked = setting(self.spark, "batchedUpdate")
+        if asked or asked is None and sum(s or 0 for s in sizes.values()) > BATCHED_BYTES:
+            return create_batches(build.analyze(self.spark, meta, sorted(sizes)), setting(self.spark, "largeIndexLimit"))
+        return [sorted(sizes)]
 
     def _summed_size(self) -> int:
         stats = self.tables.stats().read()
@@ -268,6 +284,7 @@ class FileIndex:
         if not paths or any(p is None or not p.strip() for p in paths):
             raise ValueError("files must be named")
         with self._lock("update").held():
+            self._meta = self.refreshed()
             names = [(n,) for p in paths for n, _ in self.files.expanded(p.strip())]
             gone = self.spark.createDataFrame(names, "filename string")
             for table in reversed(self.tables.all(self._meta)):
@@ -275,19 +292,19 @@ class FileIndex:
                     table.remove(gone)
             with self._lock("filelist").held():
                 self.file_list.remove_names([n for (n,) in names])
-            self._meta.total_size = max(0, self._summed_size())
-            self._save(self._meta)
+            total = max(0, self._summed_size())
+            self._change(lambda meta: setattr(meta, "total_size", total))
 
     def _compact(self, meta: IndexMetadata) -> None:
         for table in self.tables.all(meta):
             if table.exists():
                 table.compact()
-        meta.batches_since_compact = 0
 
     def compact(self) -> None:
         with self._lock("update").held(heartbeat=True):
+            self._meta = self.refreshed()
             self._compact(self._meta)
-            self._save(self._meta)
+            self._change(lambda meta: setattr(meta, "batches_since_compact", 0))
 
     def vacuum(self, hours: float = 168) -> None:
         with self._lock("update").held():
@@ -297,34 +314,36 @@ class FileIndex:
 
     # --- queries ----------------------------------------------------------------------------------------------------
 
-    def locate(self, wanted: dict[str, list] | DataFrame) -> DataFrame:
-        """(filename) of files that may hold all of the wanted columns' values: lists by column, or a table of those columns."""
-        if isinstance(wanted, DataFrame):
-            columns, source = wanted.columns, {c: wanted.select(F.col(f"`{c}`").alias("value")) for c in wanted.columns}
-        else:
-            columns, source = list(wanted), None
+    def locate(self, wanted: dict[str, list] | DataFrame, latest: bool = True) -> DataFrame:
+        """(filename) of files that may hold all of the wanted columns' values: lists by column, or a table of those columns.
+
+        ``latest``: of a temporal column only the file with a value's newest version, else every file that has it.
+        """
         tables = {}
-        for c in columns:
+        for c in wanted.columns if isinstance(wanted, DataFrame) else wanted:
             if c not in self.indexes:
                 raise ColumnNotFoundException(f"{c} has no index")
-            kind = locate.value_type(self.spark, self._meta, self.tables, c)
-            if source is None:
-                tables[c] = locate.literal_values(self.spark, list(wanted[c]), kind)
+            if isinstance(wanted, DataFrame):
+                tables[c] = wanted.select(F.col(f"`{c}`").alias("value"))
             else:
-                tables[c] = source[c].select(locate.typed(F.col("value"), kind).alias("value")).distinct()
-        return locate.locate(self.spark, self._meta, self.tables, tables)
+                tables[c] = locate.literal_values(self.spark, list(wanted[c]), locate.value_type(self.spark, self._meta, self.tables, c))
+        return locate.locate(self.spark, self._meta, self.tables, tables, latest)
 
     def locate_files(self, wanted: dict[str, list] | DataFrame) -> set[str]:
         """The names themselves: as many as the scan that follows will read."""
-        return {r["filename"] for r in self.locate(wanted).distinct().collect()}
+        return {r["filename"] for r in self.locate(wanted).collect()}
 
     @property
     def last_report(self) -> PruneReport | None:
         """What the last join or scan read, of what there is; counted when it is asked for."""
+        return None if self._last_files is None else self.report_of(self._last_files)
+
+    def report_of(self, files: set[str]) -> PruneReport | None:
+        """``files`` against all that are indexed."""
         stats = self.tables.stats().read()
-        if self._last_files is None or stats is None:
+        if stats is None:
             return None
-        named = self.spark.createDataFrame([(f, True) for f in self._last_files], "filename string, read boolean")
+        named = self.spark.createDataFrame([(f, True) for f in files], "filename string, read boolean")
         r = stats.join(named, "filename", "left").agg(F.count("read"), F.count(F.lit(1)), F.sum(F.when(F.col("read"), F.col("file_size"))), F.sum("file_size")).first()
         return PruneReport(r[0], r[1], int(r[2] or 0), int(r[3] or 0))
 
@@ -334,7 +353,7 @@ class FileIndex:
             log.info("%s: %s", self.name, self.last_report)
         return files
 
-    def _pruned(self, df: DataFrame, using: list[str], scope: str, explode: str) -> DataFrame:
+    def _pruned(self, df: DataFrame, using: list[str], scope: str, explode: str, how: str) -> DataFrame:
         for c in using:
             known = self.selected if self.selected is not None else [*self.schema.names, *self._meta.computed, *self._meta.aliases()]
             if c not in known and c not in self.indexes or self.selected is not None and c not in self.selected and c in self.schema.names:
@@ -343,7 +362,7 @@ class FileIndex:
         if not keys:
             raise ValueError(f"none of {', '.join(using)} is indexed")
         if scope == "all":
-            files = {r["filename"] for r in self.file_list.files.select("filename").collect()}
+            files = self.ledger()
         elif scope == "located":
             files = self.locate_files(df.select(*(F.col(f"`{c}`") for c in keys)))
         else:
@@ -354,7 +373,7 @@ class FileIndex:
         selected = None if self.selected is None else list(dict.fromkeys([*self.selected, *using]))
         rows = read_files(self.spark, self._meta, files, wanted, selected, keep_file=bool(temporal))
         if temporal:
-            rows = latest_only(rows, self._meta, self.tables, temporal)
+            rows = latest_only(rows, self._meta, self.tables, temporal, {c: df.select(F.col(f"`{c}`").alias("value")) for c in temporal} if how in PROBED else None)
         keep = [c for c in rows.columns if c != reader.FILE and (selected is None or c in selected or c in wanted)]
         rows = rows.select(*(F.col(f"`{c}`") for c in keep))
         return rows.repartition(*(F.col(f"`{c}`") for c in using)) if setting(self.spark, "repartitionDataFiles") else rows
@@ -362,12 +381,12 @@ class FileIndex:
     def join(self, df: DataFrame, using: list[str] | str, how: str = "inner", scope: str = "located", explode: str = "used") -> DataFrame:
         """The index's rows on the left, of located files only unless ``scope`` is all; any USING join."""
         using = [using] if isinstance(using, str) else list(using)
-        return self._pruned(df, using, scope, explode).join(df, using, how)
+        return self._pruned(df, using, scope, explode, how).join(df, using, how)
 
     def joined_by(self, df: DataFrame, using: list[str] | str, how: str = "inner", scope: str = "located", explode: str = "used") -> DataFrame:
         """``df`` on the left."""
         using = [using] if isinstance(using, str) else list(using)
-        return df.join(self._pruned(df, using, scope, explode), using, how)
+        return df.join(self._pruned(df, using, scope, explode, how), using, how)
 
     def scan(self, equal: dict[str, list] | None = None, between: dict[str, tuple] | None = None, where: str | Column | None = None, latest: bool = True) -> DataFrame:
         """Source columns of the files that can match, with every predicate applied to the rows as well.
@@ -376,24 +395,22 @@ class FileIndex:
         ``where``: anything else. A scan that nothing prunes reads all files of the ledger. ``latest``: one row for each
         temporal key, as in views.
         """
-        files = None
+        files, aliases = None, self._meta.aliases()
         pruning = {c: list(v) for c, v in (equal or {}).items() if c in self.indexes}
         if pruning:
-            files = self.locate(pruning)
+            files = self.locate(pruning, latest)
         for c, (low, high) in (between or {}).items():
             stats = self.tables.stats().read()
-            if c in self._meta.range and stats is not None:
+            if c in self._meta.range and c in self._meta.built and stats is not None:
                 found = locate.within_bounds(stats, c, low, high)
                 files = found if files is None else files.join(found, "filename", "left_semi")
-        if files is None:
-            files = self.file_list.files.select("filename")
-        names = self._reported({r["filename"] for r in files.distinct().collect()})
-        temporal = list(self._meta.temporal) if latest and self.tables.stats().read() is not None else []
-        rows = read_files(self.spark, self._meta, names, keep_file=bool(temporal))
-        if temporal:
-            rows = latest_only(rows, self._meta, self.tables, temporal)
+        rows = self.rows(self.ledger() if files is None else {r["filename"] for r in files.collect()}, latest)
         for c, v in (equal or {}).items():
-            rows = rows.where(F.col(f"`{c}`").isin(*v)) if v else rows.where(F.lit(False))
+            if c in aliases:  # rows with an element that has one of the values
+                x = next(x for x in self._meta.exploded if x["as_column"] == c)
+                rows = rows.where(F.arrays_overlap(F.col(f"{x['array_column']}.{x['field_path']}"), F.array(*map(F.lit, v))) if v else F.lit(False))
+            else:
+                rows = rows.where(F.col(f"`{c}`").isin(*v)) if v else rows.where(F.lit(False))
         for c, (low, high) in (between or {}).items():
             rows = rows if low is None else rows.where(F.col(f"`{c}`") >= F.lit(low))
             rows = rows if high is None else rows.where(F.col(f"`{c}`") <= F.lit(high))
@@ -401,6 +418,17 @@ class FileIndex:
             rows = rows.where(where)
         return rows.select(*(F.col(f"`{c}`") for c in (self.selected or self.schema.names)))
 
+    def ledger(self) -> set[str]:
+        """The names of all files, indexed or not."""
+        return {r["filename"] for r in self.file_list.files.select("filename").collect()}
+
+    def rows(self, files: Iterable[str], latest: bool = True) -> DataFrame:
+        """The files' rows with computed columns; with ``latest`` one for each temporal key."""
+        names = self._reported(set(files))
+        temporal = list(self._meta.temporal) if latest else []
+        rows = read_files(self.spark, self._meta, names, keep_file=bool(temporal), mark=self.name)
+        return latest_only(rows, self._meta, self.tables, temporal).drop(reader.FILE) if temporal else rows
+
     def stats(self) -> DataFrame:
         """Distinct values per file of each valued column: FileCount, MinValues, MaxValues, AvgValues, MedianValues, StdDev."""
         table = self.tables.stats().read()

@@ -3,10 +3,17 @@
 ``file_stats`` has a row for each file: its size, its rows, distinct counts and ranges; it is written last, so a file is
 indexed once it is there. ``postings/<column>`` has (filename, value), ``temporal/<column>`` (filename, value, max_ts),
 ``bloom/<column>`` the words of filters. A batch only adds to these tables.
+
+Parquet sources are read column by column, so each column once. Of text formats the indexed columns are staged first, as
+text would have to be parsed anew for each. What a batch has finished is noted beside the tables: if it fails, the next
+update of the same files goes on after the last finished column.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +21,7 @@ from fileprune.conf import setting
 from fileprune.functions import bloom
 from fileprune.plans.metadata import IndexMetadata
 from fileprune.sources import reader
+from fileprune.sources.fs import Files
 from fileprune.sources.snapshot import SnapshotTable
 
 
@@ -38,7 +46,7 @@ class IndexTables:
 def source_rows(spark: SparkSession, meta: IndexMetadata, files: list[str]) -> DataFrame:
     df = reader.with_file(reader.base(spark, meta, files))
     df = reader.with_computed(df, meta)
-    return df.repartition() if setting(spark, "repartitionDataFiles") else df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if setting(spark, "repartitionDataFiles") else df
 
 
 def values_of(rows: DataFrame, meta: IndexMetadata, column: str) -> DataFrame:
@@ -63,37 +71,76 @@ def analyze(spark: SparkSession, meta: IndexMetadata, files: list[str]) -> dict[
     return out
 
 
+class Staging:
+    """What a batch of files has finished, and its staged rows: a folder that goes when the batch is done."""
+
+    def __init__(self, spark: SparkSession, tables: IndexTables, files: list[str]):
+        self.spark, self.files = spark, Files(spark)
+        self.path = f"{tables.path}/staging/{hashlib.sha256(chr(10).join(sorted(files)).encode()).hexdigest()[:32]}"
+        self.note = f"{self.path}/done.json"
+        self.done: dict[str, str] = json.loads(self.files.read(self.note)) if self.files.exists(self.note) else {}
+
+    def finished(self, column: str, kind: str) -> bool:
+        return self.done.get(column) == kind
+
+    def finish(self, column: str, kind: str) -> None:
+        self.done[column] = kind
+        self.files.replace(self.note, json.dumps(self.done))
+
+    def rows(self, meta: IndexMetadata, rows: DataFrame) -> DataFrame:
+        """``rows`` with the columns that indexes use; those of text formats staged as Parquet."""
+        needed = [reader.FILE, *meta.indexes, *meta.bloom, *meta.range, *meta.temporal, *meta.computed, *(x["array_column"] for x in meta.exploded), *(ts.split(".")[0] for ts in meta.temporal.values())]
+        narrow = rows.select(*(F.col(f"`{c}`") for c in dict.fromkeys(needed)))
+        if meta.format == "parquet" or len(meta.kinds()) < 2:
+            return narrow
+        place = f"{self.path}/rows-{hashlib.sha256(meta.dump().encode()).hexdigest()[:16]}"
+        if not self.files.exists(f"{place}/_SUCCESS"):
+            narrow.write.mode("overwrite").parquet(place)
+        return self.spark.read.schema(narrow.schema).parquet(place)
+
+    def clear(self) -> None:
+        self.files.delete(self.path)
+
+
 def build_batch(spark: SparkSession, meta: IndexMetadata, tables: IndexTables, sizes: dict[str, int]) -> None:
-    """Index the files of ``sizes`` (canonical URI -> bytes); rows of theirs that are there already are replaced."""
-    rows = source_rows(spark, meta, list(sizes))
+    """Index the files of ``sizes`` (canonical URI -> bytes); rows of theirs that are there already are replaced, also where nothing replaces them."""
+    staging = Staging(spark, tables, list(sizes))
+    rows = staging.rows(meta, source_rows(spark, meta, list(sizes)))
+    named = spark.createDataFrame(list(sizes.items()), "filename string, file_size long")
+    files = named.select("filename")
     counts = []
     for column, kind in meta.kinds().items():
         if kind == "range":
             continue
         table = tables.of(kind, column)
-        if kind == "temporal":
-            ts = F.col(meta.temporal[column])
-            built = rows.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(reader.FILE).alias("filename"), F.col(f"`{column}`").alias("value")).agg(F.max(ts).alias("max_ts"))
-        elif kind == "bloom":
-            plain = rows.select(F.col(reader.FILE).alias("filename"), F.col(f"`{column}`").alias("value")).distinct()
-            built = bloom.build(plain, meta.bloom[column])
-        else:
-            built = values_of(rows, meta, column)
-        table.append(built, replacing=True)
+        if not staging.finished(column, kind):
+            if kind == "temporal":
+                ts = F.col(meta.temporal[column])
+                built = rows.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(reader.FILE).alias("filename"), F.col(f"`{column}`").alias("value")).agg(F.max(ts).alias("max_ts"))
+            elif kind == "bloom":
+                plain = rows.select(F.col(reader.FILE).alias("filename"), F.col(f"`{column}`").alias("value")).distinct()
+                built = bloom.build(plain, meta.bloom[column])
+            else:
+                built = values_of(rows, meta, column)
+            table.append(built, replacing=files)
+            staging.finish(column, kind)
         if kind != "bloom":
-            mine = table.read().join(spark.createDataFrame([(f,) for f in sizes], "filename string"), "filename", "left_semi")
+            mine = table.read().join(files, "filename", "left_semi")
             counts.append((column, mine.groupBy("filename").agg(F.count(F.lit(1)).alias(f"nd_{column}"))))
     limit = setting(spark, "largeIndexLimit")
     stats = rows.groupBy(F.col(reader.FILE).alias("filename")).agg(F.count(F.lit(1)).alias("n_rows"), *(F.struct(F.min(F.col(f"`{c}`")).alias("min"), F.max(F.col(f"`{c}`")).alias("max")).alias(f"range_{c}") for c in meta.range))
-    named = spark.createDataFrame(list(sizes.items()), "filename string, file_size long")
     stats = named.join(stats, "filename", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
     for column, count in counts:
         stats = stats.join(count, "filename", "left").withColumn(f"nd_{column}", F.coalesce(F.col(f"`nd_{column}`"), F.lit(0)))
     eligible = [c for c in meta.valued() if c not in meta.temporal]
     if eligible:
         large = stats.agg(*(F.max(f"`nd_{c}`").alias(c) for c in eligible)).first().asDict()
-        meta.auto_bloom += [c for c in eligible if (large[c] or 0) >= limit and c not in meta.auto_bloom]
-        files = named.select("filename")
-        for column in meta.auto_bloom:
-            tables.of("auto_bloom", column).append(bloom.build(tables.of("regular", column).read().join(files, "filename", "left_semi"), setting(spark, "autoBloomFpr")), replacing=True)
-    tables.stats().append(stats, replacing=True)
+        new = [c for c in eligible if (large[c] or 0) >= limit and c not in meta.auto_bloom]
+        for column in [*meta.auto_bloom, *new]:
+            # a column's first filters are those of all files, as location takes a file without one for one without the value
+            values = tables.of("regular", column).read()
+            values = values if column in new else values.join(files, "filename", "left_semi")
+            tables.of("auto_bloom", column).append(bloom.build(values, setting(spark, "autoBloomFpr")), replacing=files)
+        meta.auto_bloom += new
+    tables.stats().append(stats, replacing=files)
+    staging.clear()

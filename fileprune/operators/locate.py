@@ -50,16 +50,34 @@ def literal_values(spark: SparkSession, values: list, kind: T.DataType) -> DataF
     return raw.select(typed(F.col("value"), kind).alias("value"))
 
 
-def candidate_files(spark: SparkSession, meta: IndexMetadata, tables: IndexTables, column: str, values: DataFrame) -> DataFrame:
-    """(filename) for ``values`` (one column, value, of the indexed type)."""
+def probe_values(values: DataFrame, kind: T.DataType) -> DataFrame:
+    """``values`` (value) as the index's type, in which a join would find them; against text, a join compares in the other type, so these stay."""
+    own = values.schema["value"].dataType
+    if own == kind or isinstance(kind, T.StringType) and not isinstance(own, T.StringType):
+        return values
+    return values.select(typed(F.col("value"), kind).alias("value"))
+
+
+def candidate_files(spark: SparkSession, meta: IndexMetadata, tables: IndexTables, column: str, values: DataFrame, latest: bool = True) -> DataFrame:
+    """(filename) for ``values`` (one column, value). ``latest``: of a temporal value only the file with its newest version.
+
+    A column that not every file has been indexed by yet leaves all files over, and so does text in a filter or range that is
+    asked for values of another type.
+    """
     kind = meta.kinds().get(column)
     if kind is None:
         raise ColumnNotFoundException(f"{column} has no index")
-    values = values.where("value is not null")
     stats = tables.stats().read()
     none = spark.createDataFrame([], "filename string")
     if stats is None:
         return none
+    if column not in meta.built:
+        return stats.select("filename")
+    indexed = value_type(spark, meta, tables, column)
+    values = probe_values(values, indexed).where("value is not null")
+    mixed = isinstance(indexed, T.StringType) and not isinstance(values.schema["value"].dataType, T.StringType)
+    if mixed and kind in ("range", "bloom"):
+        return stats.select("filename")
     if kind == "range":
         few = values.distinct().limit(RANGE_VALUES + 1).collect()  # bounded
         if not few:
@@ -77,18 +95,22 @@ def candidate_files(spark: SparkSession, meta: IndexMetadata, tables: IndexTable
         rows = rows.repartition(n)
     if kind == "bloom":
         return bloom.probe(rows, values, meta.bloom[column])
-    hit = rows.join(values.distinct(), "value", "left_semi")
-    if kind == "temporal":
-        latest = Window.partitionBy("value").orderBy(F.desc_nulls_last("max_ts"), F.desc("filename"))
-        hit = hit.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1")
+    if column in meta.auto_bloom and not mixed:  # the filters are a fraction of the values
+        rows = rows.join(bloom.probe(tables.of("auto_bloom", column).read(), values, setting(spark, "autoBloomFpr")), "filename", "left_semi")
+    if mixed:
+        rows = rows.withColumn("value", F.col("value").try_cast(values.schema["value"].dataType))
+    hit = rows.join(values, "value", "left_semi")
+    if kind == "temporal" and latest:
+        newest = Window.partitionBy("value").orderBy(F.desc_nulls_last("max_ts"), F.desc("filename"))
+        hit = hit.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1")
     return hit.select("filename").distinct()
 
 
-def locate(spark: SparkSession, meta: IndexMetadata, tables: IndexTables, wanted: dict[str, DataFrame]) -> DataFrame:
+def locate(spark: SparkSession, meta: IndexMetadata, tables: IndexTables, wanted: dict[str, DataFrame], latest: bool = True) -> DataFrame:
     """(filename) of the files that every column leaves over; nothing asked, nothing found."""
     if not wanted:
         return spark.createDataFrame([], "filename string")
-    found = [candidate_files(spark, meta, tables, c, v) for c, v in wanted.items()]
+    found = [candidate_files(spark, meta, tables, c, v, latest) for c, v in wanted.items()]
     return reduce(lambda a, b: a.join(b, "filename", "left_semi"), found)
 
 

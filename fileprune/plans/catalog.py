@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fileprune.conf import storage_path
 from fileprune.errors import FilePruneError, IndexNotFoundException, StorageMigrationException
-from fileprune.index import FileIndex
+from fileprune.index import FileIndex, PruneReport
+from fileprune.plans.pruning import needed_files
 from fileprune.sources.fs import Files
 from fileprune.sources.paths import validated
 
 
+#: By application: the views that were registered and their indexes.
+_views: dict[str, dict[str, str]] = {}
+
+
 @dataclass(frozen=True)
 class IndexSummary:
     name: str
@@ -31,6 +38,7 @@ class IndexSummary:
 class IndexCatalog:
     def __init__(self, spark: SparkSession):
         self.spark, self.files = spark, Files(spark)
+        self._last: dict[str, tuple[FileIndex, set[str] | None]] = {}
 
     def _root(self) -> str:
         return f"{storage_path(self.spark)}/indexes"
@@ -78,11 +86,52 @@ class IndexCatalog:
     def register(self, name: str, view: str | None = None) -> None:
         """The index as a read-only view: source columns of all files of the ledger, latest versions of temporal keys.
 
-        A view is a plain DataFrame, so SQL over it is all of Spark SQL with column pruning and pushed filters.
+        A view is a plain DataFrame, so SQL over it is all of Spark SQL with column pruning and pushed filters. ``sql`` reads
+        the ledger anew and prunes; a view that is read otherwise has the files of the time it was registered.
         """
-        self.get(name).scan().createOrReplaceTempView(view or name)
+        self._view(self.get(name), view or name)
+        _views.setdefault(self.spark.sparkContext.applicationId, {})[view or name] = name
 
     def register_all(self, prefix: str = "") -> list[str]:
         for name in self.list():
             self.register(name, prefix + name)
         return [prefix + n for n in self.list()]
+
+    def _view(self, index: FileIndex, view: str, files: set[str] | None = None) -> None:
+        rows = index.rows(index.ledger() if files is None else files)
+        rows.select(*(F.col(f"`{c}`") for c in index.schema.names)).createOrReplaceTempView(view)
+
+    def sql(self, query: str) -> DataFrame:
+        """``query`` over registered views, which follow their ledgers, reading only files that can matter.
+
+        Equalities and IN lists on indexed columns, bounds on range indexes, and equi-joins with anything (inner, semi, or outer
+        where the index's unmatched rows are lost) prune. All conditions are still applied to the rows, so the result is
+        that of the unpruned query. ``report`` says what a view of the last query read.
+        """
+        views = {v: n for v, n in _views.get(self.spark.sparkContext.applicationId, {}).items() if re.search(rf"(?i)(?<!\w){re.escape(v)}(?!\w)", query) and self.exists(n)}
+        indexes = {name: self.get(name) for name in set(views.values())}
+        for view, name in views.items():
+            self._view(indexes[name], view)
+        needed = {}
+        if views:
+            key = "spark.sql.optimizer.inSetConversionThreshold"  # lists of literals stay readable in the plan
+            before = self.spark.conf.get(key)
+            self.spark.conf.set(key, str(1 << 30))
+            try:
+                needed = needed_files(self.spark, self.spark.sql(query), indexes)
+            finally:
+                self.spark.conf.set(key, before)
+        for view, name in views.items():
+            if name in needed:
+                self._view(indexes[name], view, needed[name])
+        out = self.spark.sql(query)
+        for view, name in views.items():
+            self._last[view] = (indexes[name], needed.get(name))
+            if name in needed:
+                self._view(indexes[name], view)
+        return out
+
+    def report(self, view: str) -> PruneReport | None:
+        """What the last query of ``sql`` read of a view; counted when it is asked for."""
+        index, files = self._last[view]
+        return index.report_of(index.ledger() if files is None else files)

@@ -123,7 +123,7 @@ def _by_user(spark, sf_dir):
 
 
 def _segment(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' and c_custkey <= 40").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return _table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_name")
 
 
 def _shard_numbers(files: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def _shard_numbers(files: DataFrame) -> DataFrame:
 
 
 _OSHARD = "((o_custkey - 1) * 8 // (SELECT max(c_custkey) FROM customer))"
-_SEGMENT = "(SELECT c_custkey AS o_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey <= 40)"
+_SEGMENT = "(SELECT c_custkey AS o_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING')"
 _LOCATED = f"(SELECT * FROM orders WHERE {_OSHARD} IN (SELECT {_OSHARD} FROM orders WHERE o_custkey IN (SELECT o_custkey FROM {_SEGMENT})))"
 
 
@@ -176,7 +176,7 @@ def left_anti_index_left_located(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").where("l_orderkey <= 50").select("l_partkey", "l_suppkey").distinct()
+    return _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select("l_partkey", "l_suppkey").distinct()
 
 
 def _lines_out(df):
@@ -188,17 +188,17 @@ def multi_key_and(spark, sf_dir):
 
 
 def partially_indexed_join(spark, sf_dir):
-    asked = _table(spark, sf_dir, "lineitem").where("l_orderkey <= 50 and l_quantity > 10").select("l_orderkey", "l_linenumber")
+    asked = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select("l_orderkey", "l_linenumber")
     return _lines_out(_by_order(spark, sf_dir).join(asked, ["l_orderkey", "l_linenumber"]))
 
 
 def bloom_inner_join(spark, sf_dir):
-    asked = _table(spark, sf_dir, "orders").where("o_custkey <= 20").select(F.col("o_orderkey").alias("l_orderkey"))
+    asked = _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
     return _by_bloom(spark, sf_dir).join(asked, "l_orderkey").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
 def range_join(spark, sf_dir):
-    asked = _table(spark, sf_dir, "lineitem").where("l_orderkey = 1").select("l_shipdate").distinct()
+    asked = _table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderdate").alias("l_shipdate")).distinct()
     return _lines_out(_by_date(spark, sf_dir).join(asked, "l_shipdate"))
 
 
@@ -210,7 +210,9 @@ def range_between_scan(spark, sf_dir):
 
 
 def range_locate(spark, sf_dir):
-    dates = [r[0] for r in _table(spark, sf_dir, "lineitem").where("l_orderkey <= 3").select("l_shipdate").distinct().collect()]
+    import datetime as d
+
+    dates = [d.datetime(1995, 3, 11), d.datetime(1996, 8, 2), d.datetime(1999, 12, 31)]
     return _shard_numbers(_by_date(spark, sf_dir).locate({"l_shipdate": dates}))
 
 
@@ -231,7 +233,7 @@ def temporal_locate(spark, sf_dir):
 
 
 def _users(spark, sf_dir):
-    return _table(spark, sf_dir, "events").where("user_id % 3 = 0").select("user_id").distinct()
+    return _table(spark, sf_dir, "events").select("user_id").distinct()
 
 
 def temporal_join(spark, sf_dir):
@@ -261,7 +263,7 @@ def computed_join(spark, sf_dir):
 
 def exploded_join(spark, sf_dir):
     index = _index(spark, sf_dir, "baskets_by_part", "baskets", lambda i: i.add_exploded_field_index("items", "partkey", "p_partkey"))
-    parts = _table(spark, sf_dir, "part").where("p_partkey <= 25").select("p_partkey", "p_brand")
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     return index.join(parts, "p_partkey").groupBy("p_partkey", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("orders"))
 
 
@@ -348,6 +350,98 @@ def catalog_df(spark, sf_dir):
     return IndexCatalog(spark).to_df().where("name = 'orders_by_customer'").select("name", "format", "indexes", "file_count")
 
 
+def join_before_update(spark, sf_dir):
+    index, path = _fresh(spark, sf_dir, "unbuilt")
+    index.add_temporal_index("o_custkey", "o_orderdate")
+    index.add_file(path)
+    joined = join_index(_segment(spark, sf_dir), index, "o_custkey", "left")
+    return joined.groupBy("c_name").agg(F.count("o_orderkey").alias("n"), F.max("o_orderdate").alias("newest"))
+
+
+def pending_backfill(spark, sf_dir):
+    index, path = _fresh(spark, sf_dir, "pending")
+    index.add_index("o_custkey")
+    index.add_file(path)
+    index.update()
+    index.add_index("o_orderpriority")
+    index.add_range_index("o_orderdate")
+    asked = spark.createDataFrame([("1-URGENT",), ("5-LOW",)], "o_orderpriority string")
+    return _summed(index.join(asked, "o_orderpriority"), "o_orderpriority")
+
+
+def scan_history(spark, sf_dir):
+    return _by_user(spark, sf_dir).scan({"user_id": [1, 2, 3]}, latest=False).select("event_id", "user_id")
+
+
+def scan_exploded(spark, sf_dir):
+    index = _index(spark, sf_dir, "baskets_by_part", "baskets", lambda i: i.add_exploded_field_index("items", "partkey", "p_partkey"))
+    return index.scan({"p_partkey": [3, 5, 8]}).select("o_orderkey", F.size("items").alias("n"))
+
+
+def auto_bloom_locate(spark, sf_dir):
+    key = "spark.fileprune.largeIndexLimit"
+    spark.conf.set(key, "1")
+    try:
+        index, path = _fresh(spark, sf_dir, "auto_bloom")
+        index.add_index("o_custkey")
+        index.add_file(path)
+        index.update()
+    finally:
+        spark.conf.unset(key)
+    if index.metadata.auto_bloom != ["o_custkey"]:
+        raise ValueError("no filters were built")
+    return _shard_numbers(index.locate({"o_custkey": [7, 11, 13, 400]}))
+
+
+def _sql(spark, sf_dir, view: str, query: str) -> DataFrame:
+    """A query over a view, with the number of the view's files that it read."""
+    catalog = IndexCatalog(spark)
+    out = catalog.sql(query)
+    return out.withColumn("files_read", F.lit(catalog.report(view).files).cast("long"))
+
+
+def sql_where_eq(spark, sf_dir):
+    _view(spark, sf_dir)
+    return _sql(spark, sf_dir, "fp_orders", "SELECT o_orderkey, o_orderstatus FROM fp_orders WHERE o_custkey = 7 AND o_totalprice > 1000")
+
+
+def sql_where_in(spark, sf_dir):
+    _view(spark, sf_dir)
+    return _sql(spark, sf_dir, "fp_orders", f"SELECT o_custkey, count(*) AS n FROM fp_orders WHERE o_custkey IN ({', '.join(map(str, range(20, 40)))}) GROUP BY o_custkey")
+
+
+def sql_where_range(spark, sf_dir):
+    _by_date(spark, sf_dir)
+    IndexCatalog(spark).register("lines_by_date", "fp_lines")
+    return _sql(spark, sf_dir, "fp_lines", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM fp_lines WHERE l_shipdate >= TIMESTAMP '1995-03-01' AND l_shipdate < TIMESTAMP '1995-05-01' GROUP BY l_returnflag")
+
+
+def sql_after_update(spark, sf_dir):
+    """The view is registered before the index has its second half, and before that is indexed."""
+    index, path = _fresh(spark, sf_dir, "growing")
+    index.add_index("o_custkey")
+    index.add_file(*(f"{path}/_shard={i}" for i in range(4)))
+    index.update()
+    view = f"fp_{index.name}"
+    IndexCatalog(spark).register(index.name, view)
+    index.add_file(path)
+    index.update()
+    return _sql(spark, sf_dir, view, f"SELECT o_orderstatus, count(*) AS n FROM {view} GROUP BY o_orderstatus")
+
+
+def sql_join_pruned(spark, sf_dir):
+    _view(spark, sf_dir)
+    query = "SELECT o_custkey, c_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM fp_orders JOIN fp_customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000 AND c_nationkey = 3 GROUP BY o_custkey, c_name"
+    return _sql(spark, sf_dir, "fp_orders", query)
+
+
+def sql_temporal_join(spark, sf_dir):
+    _by_user(spark, sf_dir)
+    IndexCatalog(spark).register("events_by_user", "fp_events")
+    spark.createDataFrame([(u,) for u in (1, 5, 9, 10_000)], "user_id long").createOrReplaceTempView("fp_asked")
+    return IndexCatalog(spark).sql("SELECT event_id, user_id, event_type FROM fp_events JOIN fp_asked USING (user_id)")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -355,6 +449,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         left_anti_index_left_located, multi_key_and, partially_indexed_join, bloom_inner_join, range_join, range_between_scan, range_locate, regular_locate, and_locate,
         empty_locate, temporal_locate, temporal_join, temporal_with_other_predicate, temporal_two_keys, computed_join, exploded_join, select_projection, scan_eq, scan_in,
         scan_full, sql_view_join, sql_view_left_join, sql_view_theta, stats, incremental_update, backfill, delete_files, catalog_df,
+        join_before_update, pending_backfill, scan_history, scan_exploded, auto_bloom_locate, sql_where_eq, sql_where_in, sql_where_range, sql_after_update, sql_join_pruned, sql_temporal_join,
     )
 }
 
@@ -373,21 +468,21 @@ ORACLE_SQL: dict[str, str] = {
     "full_outer_located": f"SELECT o_custkey, c_name, {_SUM} FROM {_LOCATED} o FULL JOIN {_SEGMENT} s USING (o_custkey) GROUP BY ALL",
     "full_outer_all": f"SELECT o_custkey, c_name, {_SUM} FROM orders o FULL JOIN {_SEGMENT} s USING (o_custkey) GROUP BY ALL",
     "left_anti_index_left_located": f"SELECT o_custkey, {_SUM} FROM {_LOCATED} o WHERE o_custkey NOT IN (SELECT o_custkey FROM {_SEGMENT}) GROUP BY ALL",
-    "multi_key_and": f"SELECT {_LINES} FROM lineitem l JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey <= 50) p USING (l_partkey, l_suppkey)",
-    "partially_indexed_join": f"SELECT {_LINES} FROM lineitem l JOIN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey <= 50 AND l_quantity > 10) p USING (l_orderkey, l_linenumber)",
-    "bloom_inner_join": "SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_custkey <= 20) USING (l_orderkey) GROUP BY ALL",
-    "range_join": f"SELECT {_LINES} FROM lineitem l WHERE l_shipdate IN (SELECT l_shipdate FROM lineitem WHERE l_orderkey = 1)",
+    "multi_key_and": f"SELECT {_LINES} FROM lineitem l JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45) p USING (l_partkey, l_suppkey)",
+    "partially_indexed_join": f"SELECT {_LINES} FROM lineitem l JOIN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) p USING (l_orderkey, l_linenumber)",
+    "bloom_inner_join": "SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') USING (l_orderkey) GROUP BY ALL",
+    "range_join": f"SELECT {_LINES} FROM lineitem l WHERE l_shipdate IN (SELECT o_orderdate FROM orders WHERE o_orderstatus = 'P')",
     "range_between_scan": f"SELECT {_LINES} FROM lineitem l WHERE l_shipdate BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '1995-04-15'",
-    "range_locate": "WITH r AS (SELECT (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS shard, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1) SELECT DISTINCT shard FROM r JOIN lineitem ON l_shipdate BETWEEN a AND b WHERE l_orderkey <= 3",
+    "range_locate": "WITH r AS (SELECT (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS shard, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1) SELECT DISTINCT shard FROM r JOIN (VALUES (TIMESTAMP '1995-03-11'), (TIMESTAMP '1996-08-02'), (TIMESTAMP '1999-12-31')) v (t) ON t BETWEEN a AND b",
     "regular_locate": f"SELECT DISTINCT {_OSHARD}::BIGINT AS shard FROM orders WHERE o_custkey BETWEEN 1 AND 29",
     "and_locate": f"SELECT DISTINCT {_LSHARD}::BIGINT AS shard FROM lineitem WHERE l_orderkey IN (1, 2, 3, 7) INTERSECT SELECT DISTINCT {_LSHARD}::BIGINT AS shard FROM lineitem WHERE l_partkey BETWEEN 1 AND 59",
     "empty_locate": f"SELECT DISTINCT {_OSHARD}::BIGINT AS shard FROM orders WHERE o_custkey = -1",
     "temporal_locate": "SELECT DISTINCT dayofyear(t)::BIGINT AS shard FROM (SELECT user_id, max(ts) AS t FROM events WHERE user_id BETWEEN 1 AND 5 GROUP BY 1)",
-    "temporal_join": f"SELECT event_id, user_id, event_type, round(value, 4) AS value FROM {_LATEST} WHERE k = 1 AND user_id % 3 = 0",
-    "temporal_with_other_predicate": f"SELECT event_id, user_id, event_type FROM {_LATEST} WHERE k = 1 AND user_id % 3 = 0 AND event_type = 'click'",
+    "temporal_join": f"SELECT event_id, user_id, event_type, round(value, 4) AS value FROM {_LATEST} WHERE k = 1",
+    "temporal_with_other_predicate": f"SELECT event_id, user_id, event_type FROM {_LATEST} WHERE k = 1 AND event_type = 'click'",
     "temporal_two_keys": "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS j FROM events) WHERE k = 1 AND j = 1",
     "computed_join": f"SELECT strftime(o_orderdate, '%Y-%m') AS month, {_SUM} FROM orders WHERE strftime(o_orderdate, '%Y-%m') IN ('1995-03', '1996-07') GROUP BY ALL",
-    "exploded_join": "SELECT p_partkey, p_brand, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_partkey <= 25 GROUP BY ALL",
+    "exploded_join": "SELECT p_partkey, p_brand, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL",
     "select_projection": f"SELECT o_custkey, o_orderkey, c_name FROM orders JOIN {_SEGMENT} s USING (o_custkey)",
     "scan_eq": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey = 7",
     "scan_in": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey IN (7, 11, 13) AND o_orderstatus = 'O'",
@@ -401,4 +496,16 @@ ORACLE_SQL: dict[str, str] = {
     "backfill": f"SELECT DISTINCT {_OSHARD}::BIGINT AS shard FROM orders WHERE o_orderpriority = '1-URGENT' INTERSECT SELECT DISTINCT {_OSHARD}::BIGINT AS shard FROM orders WHERE o_custkey IN (1, 2, 3)",
     "delete_files": f"SELECT o_orderstatus, {_SUM} FROM orders WHERE {_OSHARD} <> 0 GROUP BY ALL",
     "catalog_df": f"SELECT 'orders_by_customer' AS name, 'parquet' AS format, 'o_custkey' AS indexes, count(DISTINCT {_OSHARD}) AS file_count FROM orders",
+    "join_before_update": f"SELECT c_name, 0::BIGINT AS n, NULL::TIMESTAMP AS newest FROM {_SEGMENT} s GROUP BY ALL",
+    "pending_backfill": f"SELECT o_orderpriority, {_SUM} FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL",
+    "scan_history": "SELECT event_id, user_id FROM events WHERE user_id IN (1, 2, 3)",
+    "scan_exploded": "SELECT o_orderkey, count(*)::INT AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey HAVING bool_or(l_partkey IN (3, 5, 8))",
+    "auto_bloom_locate": f"SELECT DISTINCT {_OSHARD}::BIGINT AS shard FROM orders WHERE o_custkey IN (7, 11, 13, 400)",
+    "sql_where_eq": f"SELECT o_orderkey, o_orderstatus, (SELECT count(DISTINCT {_OSHARD}) FROM orders WHERE o_custkey = 7) AS files_read FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000",
+    "sql_where_in": f"SELECT o_custkey, count(*) AS n, (SELECT count(DISTINCT {_OSHARD}) FROM orders WHERE o_custkey BETWEEN 20 AND 39) AS files_read FROM orders WHERE o_custkey BETWEEN 20 AND 39 GROUP BY o_custkey",
+    "sql_where_range": "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity, 2::BIGINT AS files_read FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-03-01' AND l_shipdate < TIMESTAMP '1995-05-01' GROUP BY ALL",
+    "sql_after_update": f"SELECT o_orderstatus, count(*) AS n, (SELECT count(DISTINCT {_OSHARD}) FROM orders) AS files_read FROM orders GROUP BY o_orderstatus",
+    "sql_join_pruned": f"""WITH c AS (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000 AND c_nationkey = 3)
+        SELECT o_custkey, c_name, {_SUM}, (SELECT count(DISTINCT {_OSHARD}) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)) AS files_read FROM orders JOIN c ON o_custkey = c_custkey GROUP BY ALL""",
+    "sql_temporal_join": f"SELECT event_id, user_id, event_type FROM {_LATEST} WHERE k = 1 AND user_id IN (1, 5, 9)",
 }

@@ -12,19 +12,21 @@ from fileprune.plans.metadata import IndexMetadata
 from fileprune.sources.fs import canonical_column, readable
 
 FORMATS = ("csv", "parquet", "json")
+#: A reader's option that says which index a scan belongs to: readers ignore it, plans show it.
+MARK = "fileprunename"
 #: Where rows carry their file while an index works on them.
 FILE = "_fileprune_file"
 
 
-def base(spark: SparkSession, meta: IndexMetadata, files: Iterable[str]) -> DataFrame:
-    """The rows of the files; without files an empty table of the same schema."""
+def base(spark: SparkSession, meta: IndexMetadata, files: Iterable[str], mark: str | None = None) -> DataFrame:
+    """The rows of the files; without files an empty table of the same schema. ``mark``: a name that the scan carries."""
     schema = T.StructType.fromJson(meta.schema_json())
     paths = [readable(f.strip()) for f in files if f and f.strip()]
     if not paths:
         return spark.createDataFrame([], schema)
     if meta.format not in FORMATS:
         raise ValueError(f"Unsupported format: {meta.format}")
-    return spark.read.schema(schema).options(**meta.read_options).format(meta.format).load(sorted(paths))
+    return spark.read.schema(schema).options(**meta.read_options | ({MARK: mark} if mark else {})).format(meta.format).load(sorted(paths))
 
 
 def with_file(df: DataFrame) -> DataFrame:

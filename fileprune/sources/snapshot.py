@@ -18,6 +18,8 @@ from fileprune.errors import FilePruneError
 from fileprune.sources.fs import Files
 
 VERSION = "_version"
+#: By place: the newest commit that was read and its rows. Commits never change, so a name tells whether they still hold.
+_read: dict[tuple[str, str], tuple[str, dict, DataFrame | None]] = {}
 
 
 class SnapshotTable:
@@ -36,10 +38,15 @@ class SnapshotTable:
             if self.files.names(self.path):
                 raise FilePruneError(f"{self.path} holds something else than a table")
             return {"version": 0, "parts": [], "removals": [], "schema": None}
-        return json.loads(self.files.read(f"{self.path}/_commits/{names[-1]}"))
+        place = (self.spark.sparkContext.applicationId, self.path)
+        known = _read.get(place)
+        if known is None or known[0] != names[-1] or known[1]["mark"] != self.files.modified(f"{self.path}/_commits/{names[-1]}"):
+            body = json.loads(self.files.read(f"{self.path}/_commits/{names[-1]}"))
+            known = _read[place] = (names[-1], body | {"mark": self.files.modified(f"{self.path}/_commits/{names[-1]}")}, None)
+        return known[1]
 
     def _commit(self, old: dict, **change) -> None:
-        new = old | change | {"version": old["version"] + 1, "time": time.time()}
+        new = {k: v for k, v in old.items() if k != "mark"} | change | {"version": old["version"] + 1, "time": time.time()}
         self.files.create(f"{self.path}/_commits/{new['version']:012d}.json", json.dumps(new))  # fails if another was first
 
     def _write(self, df: DataFrame, version: int) -> str:
@@ -53,14 +60,12 @@ class SnapshotTable:
         known = {f.name for f in fields}
         return T.StructType(fields + [T.StructField(f.name, f.dataType, True) for f in new.fields if f.name not in known]).json()
 
-    def append(self, df: DataFrame, replacing: bool = False) -> None:
-        """Add rows; with ``replacing``, all earlier rows of their keys go. Columns that are new are null in old rows."""
+    def append(self, df: DataFrame, replacing: DataFrame | None = None) -> None:
+        """Add rows; all earlier rows of the keys ``replacing`` (a column named as the table's key) go. Columns that are new are null in old rows."""
         old = self._newest()
-        part = self._write(df, old["version"] + 1)
-        change = {"parts": [*old["parts"], part], "schema": self._merged(old["schema"], df.schema)}
-        if replacing and old["parts"]:
-            keys = self.spark.read.parquet(f"{self.path}/{part}").select(self.key).distinct()
-            change["removals"] = [*old["removals"], self._write(keys, old["version"] + 1)]
+        change = {"parts": [*old["parts"], self._write(df, old["version"] + 1)], "schema": self._merged(old["schema"], df.schema)}
+        if replacing is not None and old["parts"]:
+            change["removals"] = [*old["removals"], self._write(replacing.select(self.key).distinct(), old["version"] + 1)]
         self._commit(old, **change)
 
     def remove(self, keys: DataFrame) -> None:
@@ -85,6 +90,14 @@ class SnapshotTable:
         now = self._newest()
         if not now["schema"]:
             return None
+        place = (self.spark.sparkContext.applicationId, self.path)
+        name, body, rows = _read[place]
+        if rows is None:
+            rows = self._rows(now)
+            _read[place] = (name, body, rows)
+        return rows
+
+    def _rows(self, now: dict) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(now["schema"]))
         versioned = T.StructType([*schema.fields, T.StructField(VERSION, T.LongType())])
         rows = self.spark.read.schema(versioned).parquet(*self._paths(now["parts"])) if now["parts"] else self.spark.createDataFrame([], versioned)

@@ -270,3 +270,174 @@ def test_stream_of_files(spark, parts, storage):
     query = index_stream(index, spark.readStream.text(str(listing)), "value", str(storage / "ckpt"))
     query.awaitTermination()
     assert names(index.locate_files({"Id": [4]})) == {"part1.csv"}
+
+
+def test_history_is_scanned_in_all_files(spark, versions):
+    index = index_of(spark, versions, lambda i: i.add_temporal_index("Id", "UpdatedAt"), TEMPORAL)
+    assert sorted(r.Value for r in index.scan({"Id": [1]}, latest=False).collect()) == [100.0, 150.0]
+    assert [r.Value for r in index.scan({"Id": [1]}).collect()] == [150.0]
+
+
+def test_temporal_before_update(spark, versions):
+    index = FileIndex(spark, "t", TEMPORAL, "csv", {"header": "true"})
+    index.add_index("Value")
+    index.add_file(*versions)
+    index.update()
+    index.add_temporal_index("Id", "UpdatedAt")
+    asked = spark.createDataFrame([(1,), (9,)], "Id int")
+    assert [r.Value for r in index.join(asked, "Id").collect()] == [150.0]
+    assert index.scan().count() == 5
+    fresh = FileIndex(spark, "fresh", TEMPORAL, "csv", {"header": "true"})
+    fresh.add_temporal_index("Id", "UpdatedAt")
+    got = fresh.join(asked, "Id")
+    assert got.columns == ["Id", "Value", "UpdatedAt"] and got.count() == 0
+    assert fresh.join(asked, "Id", "right").count() == 2
+
+
+def test_unindexed_versions_count(spark, versions, storage):
+    """A scan reads files that aren't indexed yet, and a later version there is the latest."""
+    index = index_of(spark, versions, lambda i: i.add_temporal_index("Id", "UpdatedAt"), TEMPORAL)
+    index.add_file(put(storage / "v2.csv", "Id,Value,UpdatedAt\n1,170,2025-01-01 00:00:00\n2,1,2020-01-01 00:00:00\n"))
+    assert {r.Id: r.Value for r in index.scan().collect()} == {1: 170.0, 2: 250.0, 3: 300.0, 4: 400.0, 5: 500.0}
+
+
+def test_pending_columns_prune_nothing(spark, parts):
+    index = index_of(spark, parts, lambda i: i.add_index("Id"))
+    index.add_index("Version")
+    index.add_range_index("Value")
+    assert names(index.locate_files({"Version": [3]})) == {"part0.csv", "part1.csv"}
+    assert index.join(spark.createDataFrame([(3,)], "Version int"), "Version").count() == 1
+    assert index.join(spark.createDataFrame([(9.0,)], "Value double"), "Value").count() == 1
+    assert index.scan(between={"Value": (8.0, None)}).count() == 1
+    assert names(index.locate_files({"Id": [2], "Version": [3]})) == {"part0.csv"}
+
+
+def test_repartitioned_sources(spark, parts):
+    spark.conf.set("spark.fileprune.repartitionDataFiles", "true")
+    try:
+        index = index_of(spark, parts, lambda i: i.add_index("Id"))
+        assert index.join(spark.createDataFrame([(1,)], "Id int"), "Id").count() == 3
+    finally:
+        spark.conf.unset("spark.fileprune.repartitionDataFiles")
+
+
+def test_a_stale_handle_reverts_nothing(spark, parts):
+    old = index_of(spark, parts, lambda i: i.add_index("Id"))
+    new = FileIndex(spark, "t")
+    new.add_index("Version")
+    new.update()
+    old.delete_files(parts[0])
+    old.compact()
+    old.add_range_index("Value")
+    assert FileIndex(spark, "t").indexes == {"Id", "Version", "Value"} == old.indexes
+    assert set(FileIndex(spark, "t").metadata.built) == {"Id", "Version"}
+    assert names(FileIndex(spark, "t").locate_files({"Version": [2]})) == {"part1.csv"}
+
+
+def test_scan_by_an_element(spark, storage):
+    path = put(storage / "e.json", "\n".join(json.dumps(x) for x in [{"event": "a", "users": [{"id": 1}, {"id": 2}]}, {"event": "b", "users": [{"id": 3}]}, {"event": "c"}]))
+    index = FileIndex(spark, "e", T.StructType.fromDDL("event string, users array<struct<id:bigint>>"), "json")
+    index.add_exploded_field_index("users", "id", "user_id")
+    index.add_computed_index("upper_event", "upper(event)")
+    index.add_file(path)
+    index.update()
+    assert [r.event for r in index.scan({"user_id": [2, 9]}).collect()] == ["a"]
+    assert [r.event for r in index.scan({"upper_event": ["B"]}).collect()] == ["b"]
+
+
+def test_a_file_read_again_loses_its_old_values(spark, storage):
+    """A value that a file doesn't have any more goes when the file is indexed again, also if nothing takes its place."""
+    a, b = put(storage / "a.csv", "Id,Value,UpdatedAt\n1,100,2025-01-01 00:00:00\n"), put(storage / "b.csv", "Id,Value,UpdatedAt\n1,150,2024-06-15 12:00:00\n")
+    index = index_of(spark, [a, b], lambda i: i.add_temporal_index("Id", "UpdatedAt"), TEMPORAL)
+    (storage / "a.csv").write_text("Id,Value,UpdatedAt\n,100,2025-01-01 00:00:00\n")
+    spark.catalog.clearCache()
+    index.add_index("Value")  # its backfill reads all files again
+    index.update()
+    assert [r.Value for r in index.join(spark.createDataFrame([(1,)], "Id int"), "Id").collect()] == [150.0]
+
+
+def test_a_join_of_other_types_finds_what_the_join_finds(spark, storage):
+    path = [put(storage / "s0.csv", "Code,Value\n05,1\n7,2\n"), put(storage / "s1.csv", "Code,Value\n8,3\n")]
+    schema = T.StructType.fromDDL("Code string, Value double")
+    for define in (lambda i: i.add_index("Code"), lambda i: i.add_bloom_index("Code"), lambda i: i.add_range_index("Code")):
+        index = index_of(spark, path, define, schema, name=f"s{random.random()}".replace(".", ""))
+        assert index.join(spark.createDataFrame([(5,)], "Code int"), "Code").count() == 1
+        assert index.join(spark.createDataFrame([("7",)], "Code string"), "Code").count() == 1
+
+
+def test_recovery_of_a_failed_update(spark, parts, monkeypatch):
+    """What a failed update had finished isn't done again, and nothing of it is seen before the files are indexed."""
+    from fileprune.operators import build
+
+    index = FileIndex(spark, "t", TABLE1, "csv", {"header": "true"})
+    index.add_index("Id")
+    index.add_index("Version")
+    index.add_file(*parts)
+    seen, plain = [], build.values_of
+
+    def failing(rows, meta, column):
+        seen.append(column)
+        if column == "Version" and seen.count("Version") == 1:
+            raise RuntimeError("lost")
+        return plain(rows, meta, column)
+
+    monkeypatch.setattr(build, "values_of", failing)
+    with pytest.raises(RuntimeError):
+        index.update()
+    assert index.locate_files({"Id": [1]}) == set() and names(index.unindexed_files()) == {"part0.csv", "part1.csv"}
+    assert index.update() == 2 and seen == ["Id", "Version", "Version"]
+    assert names(index.locate_files({"Id": [4], "Version": [2]})) == {"part1.csv"}
+    assert not index.files.names(f"{index.path}/staging")
+
+
+def test_auto_bloom_narrows_and_loses_nothing(spark, parts):
+    spark.conf.set("spark.fileprune.largeIndexLimit", "3")
+    try:
+        index = index_of(spark, parts[:1], lambda i: (i.add_index("Id"), i.add_index("Version")))
+        assert index.metadata.auto_bloom == ["Id"]
+        index.add_file(parts[1])
+        index.update()
+        assert [len(index.locate_files({"Id": [i]})) for i in (1, 2, 3, 4, 9)] == [2, 1, 2, 1, 0]
+    finally:
+        spark.conf.unset("spark.fileprune.largeIndexLimit")
+
+
+def read_by(spark, query, view):
+    catalog = IndexCatalog(spark)
+    return sorted(map(tuple, catalog.sql(query).collect())), catalog.report(view).files
+
+
+def test_sql_prunes(spark, parts, storage):
+    index = index_of(spark, parts, lambda i: (i.add_index("Id"), i.add_range_index("Version"), i.add_bloom_index("Value")))
+    IndexCatalog(spark).register("t", "pruned")
+    spark.createDataFrame([(2, "two"), (77, "none")], "key int, label string").createOrReplaceTempView("labels_of")
+    everything = sorted(map(tuple, index.scan().collect()))
+    for condition, files in [
+        ("Id = 2", 1), ("2 = Id", 1), ("Id IN (2, 4)", 2), ("Id IN (2, 4) AND Version = 1 AND Id < 3", 2), ("Version > 2", 1), ("3 <= Version", 1), ("Version < 2 AND Id = 4", 1), ("Value = 9.0", 1),
+        ("Id = 2 OR Version = 3", 2), ("NOT Id = 2", 2), ("Id = 99", 0), ("abs(Id) = 2", 2),
+    ]:
+        got, read = read_by(spark, f"SELECT * FROM pruned WHERE {condition}", "pruned")
+        want = sorted(map(tuple, index.scan(where=condition).collect()))
+        assert (condition, got, read) == (condition, want, files)
+    assert read_by(spark, "SELECT label, Value FROM pruned JOIN labels_of ON Id = key", "pruned") == ([("two", 3.0)], 1)
+    assert read_by(spark, "SELECT label, Value FROM labels_of LEFT JOIN pruned ON Id = key", "pruned") == ([("none", None), ("two", 3.0)], 1)
+    assert read_by(spark, "SELECT count(*) FROM pruned LEFT JOIN labels_of ON Id = key", "pruned") == ([(8,)], 2)
+    assert read_by(spark, "SELECT count(*) FROM pruned FULL JOIN labels_of ON Id = key", "pruned") == ([(9,)], 2)
+    assert read_by(spark, "SELECT Id FROM pruned WHERE Id IN (SELECT key FROM labels_of)", "pruned") == ([(2,)], 1)
+    assert read_by(spark, "SELECT count(*) FROM pruned WHERE Id NOT IN (SELECT key FROM labels_of)", "pruned") == ([(7,)], 2)
+    assert read_by(spark, "SELECT a.Id FROM pruned a JOIN pruned b ON a.Id = b.Id AND a.Version = b.Version WHERE b.Version = 3", "pruned")[0] == [(1,)]
+    assert read_by(spark, "SELECT Id, c FROM (SELECT Id, count(*) AS c FROM pruned GROUP BY Id) WHERE Id = 1", "pruned")[0] == [(1, 3)]
+    assert read_by(spark, "SELECT * FROM (SELECT * FROM pruned ORDER BY Version DESC LIMIT 1) WHERE Id = 2", "pruned") == ([], 2)
+    assert sorted(map(tuple, spark.sql("SELECT * FROM pruned").collect())) == everything
+
+
+def test_sql_follows_the_ledger(spark, versions, storage):
+    index = index_of(spark, versions, lambda i: (i.add_temporal_index("Id", "UpdatedAt"), i.add_index("Value")), TEMPORAL)
+    IndexCatalog(spark).register("t", "now")
+    index.add_file(put(storage / "v2.csv", "Id,Value,UpdatedAt\n1,170,2025-01-01 00:00:00\n8,1,2020-01-01 00:00:00\n"))
+    assert read_by(spark, "SELECT Id, Value FROM now WHERE Id IN (1, 8)", "now")[0] == [(1, 170.0), (8, 1.0)]
+    index.update()
+    assert read_by(spark, "SELECT Id, Value FROM now WHERE Id IN (1, 8)", "now") == ([(1, 170.0), (8, 1.0)], 1)
+    assert read_by(spark, "SELECT Id FROM now WHERE Value = 100.0", "now")[0] == []  # a version that isn't the latest
+    spark.createDataFrame([(3,)], "key int").createOrReplaceTempView("asked_key")
+    assert read_by(spark, "SELECT Value FROM now JOIN asked_key ON Id = key", "now") == ([(300.0,)], 1)
