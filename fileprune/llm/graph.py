@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from fileprune.llm.common import Scratch
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    """Every greater neighbour of a node is linked to the least of the node and its neighbours."""
+def _large_star(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Every greater neighbour of a node is linked to the least of the node and its neighbours.
+
+    The least neighbours are written first: then both sides of the join are plain exchanges, and the neighbours of a hub,
+    which are most of the links of a large component, can be dealt to several tasks.
+    """
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root"))
+    least = scratch.written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("root").alias("v"))
 
 
@@ -37,7 +41,7 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     now = scratch.written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _mark(now)
     while mark[0]:
-        after = scratch.written(_small_star(_large_star(now).distinct()).distinct(), "links")
+        after = scratch.written(_small_star(_large_star(now, scratch).distinct()).distinct(), "links")
         after_mark = _mark(after)
         scratch.drop(now)
         now, changed, mark = after, after_mark != mark, after_mark
