@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fileprune.llm.common import written
+from fileprune.llm.common import global_rank, written
 
 _MARKS = re.compile(r"[ \t]{0,3}>[ \t]?")
 _ATTRIBUTION = re.compile(r"\s*\S.{0,200}\b(wrote|schrieb|écrit|escribió)\b.{0,20}:\s*$", re.IGNORECASE)
 _ENDS = re.compile(r"^\W+|\W+$")
 #: Words that a passage must have to be linked to another conversation: a short answer is nobody's quotation.
 LEAST_WORDS = 3
+#: Messages in a block of global numbers.
+BLOCK = 1 << 17
 #: Parts that the messages of a hash are dealt to.
 SALTS = 16
 
@@ -88,6 +90,28 @@ def answer_order(answers: list[int | None]) -> list[int]:
     return out
 
 
+def run_places(size: int, linked: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of a conversation of ``size`` messages, and their places in the order of answers.
+
+    Message ``linked[i]`` answers the earlier message ``to[i]``; any other answers the one before it, so it follows it at once. A
+    run reaches from a linked message to the next. After a run come those that answer its last message, then those that
+    answer the one before, and so on.
+    """
+    starts = np.concatenate(([0], linked))
+    lengths = np.diff(np.append(starts, size))
+    parent = np.searchsorted(starts, to, side="right") - 1
+    order = np.lexsort((-linked, to, parent))  # of a run the one that comes last first, as a stack takes them
+    begins = np.searchsorted(parent[order], np.arange(len(starts) + 1)).tolist()
+    children, places = (order + 1).tolist(), np.zeros(len(starts), np.int64)
+    at, stack = 0, [0]
+    while stack:
+        run = stack.pop()
+        places[run] = at
+        at += int(lengths[run])
+        stack += children[begins[run] : begins[run + 1]]
+    return starts, places
+
+
 _PARSED = "conv_id long, turn long, role string, own string, quotes array<struct<level:int,hashes:array<long>>>, hashes array<long>"
 
 
@@ -154,38 +178,63 @@ def linked_conversations(conversations: DataFrame) -> DataFrame:
     messages = parsed(conversations)
     links = quotation_links(messages)
     target = F.struct("to_conv", "to_turn", "to_id", "same")
-    best = links.groupBy("id").agg(F.min_by(target, F.struct("level", "number", "part")).alias("to"), F.count_distinct("number").alias("n_linked"))
-    facts = messages.join(best, "id", "left").select("id", "conv_id", "turn", "role", F.md5("own").alias("_own"), F.when(F.col("to.same"), F.col("to.to_id")).alias("answers"))
-    ordered = facts.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "_own", "id").select("conv_id", "turn", "id", "answers")
+    best = written(links.groupBy("id").agg(F.min_by(target, F.struct("level", "number", "part")).alias("to"), F.count_distinct("number").alias("n_linked")), "links")
+    places = answer_places(messages, best.where("to.same").select("id", F.col("to.to_id").alias("answers")))
+    return messages.join(places, "id").join(best, "id", "left").select(
+        "conv_id", "turn", "role", F.col("own").alias("text"), "position", F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("int").alias("n_linked"),
+        F.col("to.to_conv").alias("quoted_conv"), F.col("to.to_turn").alias("quoted_turn"), "answers_turn",
+    )
+
+
+def answer_places(messages: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, position, answers_turn) of all ``messages`` (id, conv_id, turn, role, own), of which ``answers`` (id, answers) says what some answer.
+
+    Messages get global numbers by conversation and turn; those of one conversation needn't meet in a task. Only its linked
+    messages do, as three numbers each. The run that a message belongs to is the last one that starts before it, found in
+    blocks of BLOCK messages.
+    """
+    narrow = messages.select("id", "conv_id", "turn", "role", F.md5("own").alias("_own"))
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("_own").asc(), F.col("id").asc()]
+    ranked = written(global_rank(narrow, order, "messages-by-turn", "rank").select("id", "conv_id", "turn", "rank"), "message-ranks")
+    sizes = written(ranked.groupBy("conv_id").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("size")), "conversations")
+    linked = answers.join(ranked, "id").join(ranked.select(F.col("id").alias("answers"), F.col("rank").alias("to"), F.col("turn").alias("to_turn")), "answers").where("to < rank")
+    linked = written(linked.alias("l").join(sizes.alias("s"), F.col("l.conv_id").eqNullSafe(F.col("s.conv_id"))).select("id", "rank", "to", "to_turn", "first", "size"), "linked-messages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def closed() -> pa.RecordBatch:
-            number = {name: i for i, (_, name, _) in enumerate(held)}
-            answers = []
-            for i, (_, _, to) in enumerate(held):
-                known = number.get(to)
-                answers.append(known if known is not None and known < i else i - 1 if i else None)
-            at = np.zeros(len(held), np.int64)
-            at[answer_order(answers)] = np.arange(len(held))
-            return pa.RecordBatch.from_pydict({"id": pa.array([h[1] for h in held], pa.int64()), "position": pa.array(at, pa.int64()), "answers_turn": pa.array([None if a is None else held[a][0] for a in answers], pa.int64())})
+            first, size = now
+            ranks, to = (np.concatenate(x) - first for x in zip(*held))
+            starts, places = run_places(size, ranks, to)
+            return pa.RecordBatch.from_pydict({"start": pa.array(starts + first, pa.int64()), "place": pa.array(places, pa.int64())})
 
         for batch in batches:
-            for conv, turn, name, to in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and conv != now:
+            first, size, rank, to = (batch.column(i).to_numpy() for i in range(4))
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(first)) + 1, [len(first)])).tolist() if len(first) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if held and int(first[a]) != now[0]:
                     yield closed()
                     held = []
-                now = conv
-                held.append((turn, name, to))
+                now = (int(first[a]), int(size[a]))
+                held.append((rank[a:b], to[a:b]))
         if held:
             yield closed()
 
-    places = ordered.mapInArrow(run, "id long, position long, answers_turn long")
-    return messages.join(places, "id").join(best, "id", "left").select(
-        "conv_id", "turn", "role", F.col("own").alias("text"), "position", F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("int").alias("n_linked"),
-        F.col("to.to_conv").alias("quoted_conv"), F.col("to.to_turn").alias("quoted_turn"), "answers_turn",
-    )
+    places = linked.select("first", "size", "rank", "to").repartition("first").sortWithinPartitions("first", "rank").mapInArrow(run, "start long, place long")
+    starts = linked.select("rank").union(sizes.select("first"))
+    block = F.floor(F.col("rank") / F.lit(BLOCK)).cast("long").alias("block")
+    marked = ranked.select("id", "turn", "rank", block).join(starts.select("rank", F.col("rank").alias("start")), "rank", "left")
+    before = marked.groupBy("block").agg(F.max("start").alias("last"))
+    carried = before.select("block", F.max("last").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))  # a row for each BLOCK messages
+    within = F.max("start").over(Window.partitionBy("block").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    runs = marked.withColumn("within", within).join(carried, "block").select("id", "turn", "rank", F.coalesce("within", "carried").alias("start"))
+    told = linked.select(F.col("id").alias("_id"), "to_turn")
+    previous = ranked.select((F.col("rank") + 1).alias("rank"), F.col("turn").alias("before"))
+    first = sizes.select(F.col("first").alias("rank"), F.lit(True).alias("opens"))
+    out = runs.join(places, "start", "left").join(previous, "rank", "left").join(first, "rank", "left").join(told, F.col("id") == F.col("_id"), "left")
+    turn = F.when(F.col("_id").isNotNull(), F.col("to_turn")).when(F.col("opens").isNull(), F.col("before"))
+    return out.select("id", (F.coalesce("place", F.lit(0)) + F.col("rank") - F.col("start")).cast("long").alias("position"), turn.alias("answers_turn"))
 
 
 def transcripts(linked: DataFrame, template: str = "<|%s|>\n%s\n") -> DataFrame:

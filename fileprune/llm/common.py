@@ -38,9 +38,9 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage and fixes what non-deterministic plans made."""
-    return Scratch(df.sparkSession, name).written(df, name)
+    return Scratch(df.sparkSession, name).written(df, name, compression)
 
 
 class Scratch:
@@ -50,9 +50,9 @@ class Scratch:
         self.spark, self.path = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._paths: list[tuple[DataFrame, str]] = []
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         path = f"{self.path}/{len(self._paths)}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths.append((out, path))
         return out

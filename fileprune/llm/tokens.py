@@ -138,7 +138,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, shard_tokens: int
         if docs_held:
             yield closed()
 
-    return written(dealt.mapInArrow(run, SHARD_SCHEMA), "token-shards")
+    return written(dealt.mapInArrow(run, SHARD_SCHEMA), "token-shards", "none")  # the files are compressed
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:

@@ -640,6 +640,35 @@ def test_chat_quotes_another_conversation(spark):
     assert (got[5, 1].quoted_conv, got[5, 1].quoted_turn) == (1, 3)
 
 
+def test_order_of_answers(spark, monkeypatch):
+    """Random answers over conversations of many sizes, runs that reach over blocks, a conversation that holds a third of all rows."""
+    monkeypatch.setattr(chat, "BLOCK", 16)
+    rng = random.Random(22)
+    for _ in range(200):
+        n = rng.randrange(1, 40)
+        answers = [None if not i else rng.randrange(i) if rng.random() < 0.4 else i - 1 for i in range(n)]
+        linked = [i for i in range(1, n) if answers[i] != i - 1]
+        starts, places = chat.run_places(n, np.array(linked, np.int64), np.array([answers[i] for i in linked], np.int64))
+        got = np.zeros(n, int)
+        for start, end, place in zip(starts, [*starts[1:], n], places):
+            got[place : place + end - start] = range(start, end)
+        assert got.tolist() == chat.answer_order(answers)
+    rows, want, links = [], {}, []
+    for c in range(30):
+        size = 200 if not c else rng.randrange(1, 25)
+        answers = [None if not i else rng.randrange(i) if rng.random() < (0.1 if c % 3 else 0) else i - 1 for i in range(size)]
+        order = {i: at for at, i in enumerate(chat.answer_order(answers))}
+        for i in range(size):
+            rows.append((1000 * c + i, c if c else None, i, "user", "x"))
+            want[1000 * c + i] = (order[i], answers[i])
+            if i and answers[i] != i - 1:
+                links.append((1000 * c + i, 1000 * c + answers[i]))
+    links.append((3, 7))  # one that would answer a later message is left out
+    messages = spark.createDataFrame(rows, "id long, conv_id long, turn long, role string, own string")
+    got = {r.id: (r.position, r.answers_turn) for r in chat.answer_places(messages, spark.createDataFrame(links, "id long, answers long")).collect()}
+    assert got == want
+
+
 def brute_chat(rows):
     """Links by comparing every quotation with every message: conv_id, turn -> (n_quotes, n_linked, quoted)."""
     import re
@@ -767,25 +796,78 @@ def test_scratch_needs_a_shared_folder(spark):
     assert not os.path.isdir(path)
 
 
+def brute_copies(rows):
+    """(doc_id, words, copies) of each row by the crossings of its source's offset, one by one. Rows: (doc_id, text, source)."""
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(words(t) for _, t, x in rows if x == s) for s in sources}
+    weights = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sources)}
+    held = set()
+    while True:
+        rest = sum(sizes.values()) - sum(3 * sizes[s] for s in held)
+        free = [s for s in sources if s not in held]
+        targets = {s: 3 * sizes[s] if s in held else rest * weights[s] / sum(weights[x] for x in free) for s in sources}
+        above = {s for s in free if targets[s] > 3 * sizes[s]}
+        if not above:
+            break
+        held |= above
+    out = []
+    for source in sources:
+        docs = sorted(((-words(t), i is not None, i or 0, i) for i, t, x in rows if x == source))
+        step = targets[source] / sizes[source] if sizes[source] else 0
+        at = int(hashlib.md5(f"{mixing.SEED}:{'1' if source is None else '0' + source}".encode()).hexdigest()[:8], 16) / 2**32
+        large, taken, begin, first = min(mixing.LARGEST, len(docs) // 4), 0, at, step
+        for k, (size, _, _, i) in enumerate(docs):
+            if k == large:
+                left = sizes[source] + sum(d[0] for d in docs[:large])
+                begin, step = at + first * large, max(0.0, min(3.0, (targets[source] - taken) / left)) if left > 0 else first
+            j = k if k < large else k - large
+            copies = min(3, math.floor(begin + step * (j + 1)) - math.floor(begin + step * j))
+            taken += copies * -size
+            out.append((i, -size, copies))
+    return out
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage against plain Python on what the stage before kept."""
     import corpus_pipeline
 
     rng = random.Random(9)
     rows = labelled(rng, 120, ["grumpt"])
-    rows += [(500 + i, rows[1][1], "b") for i in range(5)] + [(600, None, "a"), (601, LONG, "c"), (None, "some words", None)]
+    rows += [(500 + i, rows[1][1], "b") for i in range(5)] + [(520, rows[2][1] + " more", "b"), (600, None, "a"), (601, LONG, "c"), (602, "", None), (None, "some words", None)]
     docs = docs_of(spark, rows).selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as long) as n_chars")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    now, key = spark.read.parquet(f"{tmp_path}/documents.parquet"), lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = sorted(((r.doc_id, r.text, r.source) for r in now.collect()), key=key)
+        if k == 0:
+            scorer = toxicity.Scorer(toxicity.fitted(now, labels))
+            want = [r for r in before if scorer.scores([r[1] or ""])[0] < 0.5]
+            assert 80 <= len(want) < len(before) and {r[0] for r in want} >= {i for i in range(120) if i % 3}
+        elif k == 1:
+            model, table = quality.fitted(now, labels), quality.WordTable()
+            want = [r for r in before if model.scores(table, [r[1] or ""])[0] >= 0.7]
+        elif k == 2:
+            groups = brute_groups([r[1] or "" for r in before])
+            empty = [g[0] for g in groups if not simhash.shingle_hashes(before[g[0]][1] or "", 5).size]
+            groups = [g for g in groups if g[0] not in empty] + ([sorted(empty)] if empty else [])
+            want = sorted((min((before[i] for i in g), key=lambda r: (r[0] is None, r[0] or 0)) for g in groups), key=key)
+            assert len(want) < len(before)
+        elif k == 3:
+            copies = {}
+            for i, _, n in brute_copies(before):
+                copies[i] = n  # doc_ids are unique by now
+            want = sorted((r for r in before for _ in range(copies[r[0]])), key=key)
         after = stage(spark, now, str(tmp_path))
         if k < 4:
             assert after.columns == docs.columns
         after.write.parquet(f"{tmp_path}/out{k}")
-        before, now = now, spark.read.parquet(f"{tmp_path}/out{k}")
-        if k == 0:
-            assert {i for i in range(120) if i % 3} - {r.doc_id for r in now.collect()} == set()
-        if k == 2:
-            assert {r.doc_id for r in now.where("doc_id = 1 or doc_id >= 500").collect()} >= {1} and not now.where("doc_id between 500 and 504").count()
-    assert now.count() == before.count()
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+        now = spark.read.parquet(f"{tmp_path}/out{k}")
+        if k < 4:
+            assert sorted(((r.doc_id, r.text, r.source) for r in now.collect()), key=key) == want, name
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    ids = [(i, known.encode_ordinary(t or ""), t or "") for i, t, _ in before]
+    want = sorted((str(i), len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, x, t in ids)
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in now.collect()) == want
+    assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, now.collect()))
