@@ -27,7 +27,8 @@ from fileprune.errors import (
 from fileprune.functions.schema import field_exists, field_type
 from fileprune.operators import build, locate
 from fileprune.operators.join import latest_only, read_files
-from fileprune.plans.metadata import IndexMetadata
+from fileprune.plans.metadata import STORAGE_VERSION, IndexMetadata
+from fileprune.plans.migrate import migrate
 from fileprune.plans.planner import create_batches
 from fileprune.sources import reader
 from fileprune.sources.filelist import FileList
@@ -85,7 +86,7 @@ class FileIndex:
             meta = IndexMetadata(format, schema.json(), dict(options))
             self._save(meta)
             return meta
-        meta = self.refreshed()
+        meta = self._migrated(self.refreshed())
         changed = False
         if format and format != meta.format:
             raise FormatMismatchException(f"{self.name} has the format {meta.format}, not {format}")
@@ -103,6 +104,16 @@ class FileIndex:
             self._save(meta)
         return meta
 
+    def _migrated(self, meta: IndexMetadata) -> IndexMetadata:
+        """Storage of an earlier version is brought up to date, under the lock and its heartbeat, by whoever comes first."""
+        if meta.storage_format_version >= STORAGE_VERSION:
+            return meta
+        with self._lock("update").held(heartbeat=True):
+            meta = self.refreshed()
+            migrate(self.spark, meta, self.tables)
+            self._save(meta)
+        return meta
+
     def refreshed(self) -> IndexMetadata:
         try:
             return IndexMetadata.parse(self.files.read(self._meta_path))

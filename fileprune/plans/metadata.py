@@ -27,29 +27,33 @@ class IndexMetadata:
     built: list[str] = field(default_factory=list)
     total_size: int = -1
     batches_since_compact: int = 0
+    #: What a document holds besides; it is kept.
+    extra: dict = field(default_factory=dict)
     metadata_version: int = METADATA_VERSION
     storage_format_version: int = STORAGE_VERSION
 
     @classmethod
     def parse(cls, text: str) -> IndexMetadata:
-        """Missing fields of earlier versions get their defaults; format and schema must be there."""
+        """Missing fields of earlier versions get their defaults, unknown ones are kept; format and schema must be there."""
         try:
             raw = json.loads(text)
             known = {k: v for k, v in raw.items() if k in cls.__dataclass_fields__ and v is not None}
             if "format" not in known or "schema" not in known:
                 raise KeyError("format or schema")
             meta = cls(**known)
+            meta.extra = {k: v for k, v in raw.items() if k not in cls.__dataclass_fields__} | known.get("extra", {})
         except (ValueError, TypeError, KeyError, AttributeError) as e:
             raise MetadataMissingOrCorruptException(str(e)) from e
         if meta.metadata_version > METADATA_VERSION:
             raise UnsupportedMetadataVersionException(str(meta.metadata_version))
         if meta.storage_format_version > STORAGE_VERSION:
             raise UnsupportedStorageFormatVersionException(str(meta.storage_format_version))
-        meta.metadata_version, meta.storage_format_version = METADATA_VERSION, STORAGE_VERSION
+        meta.metadata_version = METADATA_VERSION
         return meta
 
     def dump(self) -> str:
-        return json.dumps(asdict(self), indent=1, sort_keys=True)
+        body = asdict(self)
+        return json.dumps(body.pop("extra") | body, indent=1, sort_keys=True)
 
     def schema_json(self) -> dict:
         if not self.schema:

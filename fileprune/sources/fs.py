@@ -69,6 +69,11 @@ class Files:
         options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(fs.makeQualified(beside), fs.makeQualified(p), options)
 
+    def rename(self, path: str, to: str) -> None:
+        fs, p = self._of(path)
+        if not fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(to)):
+            raise OSError(f"{path} can't be renamed to {to}")
+
     def modified(self, path: str) -> int:
         fs, p = self._of(path)
         return fs.getFileStatus(p).getModificationTime()

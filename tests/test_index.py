@@ -441,3 +441,26 @@ def test_sql_follows_the_ledger(spark, versions, storage):
     assert read_by(spark, "SELECT Id FROM now WHERE Value = 100.0", "now")[0] == []  # a version that isn't the latest
     spark.createDataFrame([(3,)], "key int").createOrReplaceTempView("asked_key")
     assert read_by(spark, "SELECT Value FROM now JOIN asked_key ON Id = key", "now") == ([(300.0,)], 1)
+
+
+def test_storage_of_earlier_versions(spark, storage):
+    """File sizes that weren't kept are filled in, an exploded field's values move under the alias, unknown entries stay."""
+    path = put(storage / "e.json", "\n".join(json.dumps(x) for x in [{"event": "a", "users": [{"id": 1}, {"id": 2}]}, {"event": "b", "users": [{"id": 3}]}]))
+    index = FileIndex(spark, "e", T.StructType.fromDDL("event string, users array<struct<id:bigint>>"), "json")
+    index.add_exploded_field_index("users", "id", "user_id")
+    index.add_file(path)
+    index.update()
+    stats = index.tables.stats()
+    stats.overwrite(stats.read().withColumn("file_size", F.lit(None).cast("long")))
+    postings = storage / "storage" / "indexes" / "e" / "postings"
+    (postings / "user_id").rename(postings / "users")
+    body = json.loads(index.metadata.dump()) | {"storage_format_version": 1, "of_another_tool": [1]}
+    index.files.replace(f"{index.path}/metadata.json", json.dumps(body))
+    again = FileIndex(spark, "e")
+    assert again.metadata.storage_format_version == 3 and json.loads(again.files.read(f"{again.path}/metadata.json"))["of_another_tool"] == [1]
+    assert again.tables.stats().read().first()["file_size"] == len((storage / "e.json").read_bytes())
+    assert names(again.locate_files({"user_id": [3]})) == {"e.json"}
+    index.files.replace(f"{index.path}/metadata.json", json.dumps(body | {"storage_format_version": 2}))
+    (postings / "user_id").rename(postings / "lost")
+    with pytest.raises(errors.StorageMigrationException):
+        FileIndex(spark, "e")
