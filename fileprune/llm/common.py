@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: monotonically_increasing_id() keeps the row number within a partition in its low 33 bits.
 _ROW_BITS = 33
+#: Bytes of text that training takes at most, beside its bound of rows.
+TRAINING_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,10 +135,10 @@ def global_rank(df: DataFrame, order: list[Column], name: str, rank: str) -> Dat
     return joined.withColumn(rank, F.col(start) + F.col(mark).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).drop(part_name, start, mark)
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int) -> list[tuple[str, int]]:
-    """At most ``limit`` (text, label) rows outside the held-out fold, taken in the order of a hash of their doc_id.
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int, most_bytes: int = TRAINING_BYTES) -> list[tuple[str, int]]:
+    """At most ``limit`` (text, label) rows outside the held-out fold, taken in the order of a hash of their doc_id, of ``most_bytes`` together.
 
-    The bound is the caller's documented parameter; only these rows come to the driver. Null labels and null doc_ids
+    The bounds are documented parameters; only these rows come to the driver. Null labels and null doc_ids
     take no part, a document labelled more than once counts once with its largest label.
     """
     known = (
@@ -146,12 +148,15 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, hel
         .groupBy("_id")
         .agg(F.max("_y").alias("_y"))
     )
-    chosen = known.orderBy(F.xxhash64(F.lit("sample"), F.col("_id")), "_id").limit(limit)
+    order = [F.xxhash64(F.lit("sample"), F.col("_id")), F.col("_id")]
+    chosen = known.orderBy(*order).limit(limit)
     rows = (
         docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
         .join(F.broadcast(chosen), "_id")  # at most ``limit`` rows
         .groupBy("_id")
         .agg(F.max("_text").alias("_text"), F.max("_y").alias("_y"))
+        .withColumn("_bytes", F.sum(F.octet_length("_text")).over(Window.orderBy(*order)))  # of ``limit`` rows
+        .where(F.col("_bytes") <= most_bytes)
         .collect()
     )
     return [(r["_text"], int(r["_y"])) for r in sorted(rows, key=lambda r: r["_id"])]

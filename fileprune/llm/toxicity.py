@@ -290,8 +290,8 @@ class Scorer:
         row, new = self.index.rows(one, two)
         if self.generation != self.index.generation:
             self.table, self.generation = Rows(np.float32, (6 * HIDDEN,)), self.index.generation
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
             self.table.extend(self.model.projected(self.model.inputs(data, starts[part], ends[part], one[part])[0]))
         first = np.cumsum(counts) - counts
         begins = [window_starts(int(n)) for n in counts]
