@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from fileprune.errors import MetadataMissingOrCorruptException, MissingSchemaException, SchemaParseException, UnsupportedMetadataVersionException, UnsupportedStorageFormatVersionException
 
-METADATA_VERSION, STORAGE_VERSION = 10, 3
+METADATA_VERSION, STORAGE_VERSION = 10, 4
 
 
 @dataclass

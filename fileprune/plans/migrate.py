@@ -1,7 +1,8 @@
 """Bringing the storage of an index that an earlier version wrote up to date.
 
 Version 1 kept no file sizes; they are asked of the file system, by the executors. Version 2 kept the values of an exploded
-field under the name of its array column; they move under the alias. Each step is verified before the version goes up, and can
+field under the name of its array column; they move under the alias. Version 3 kept filters word by word; they go, and the next
+update builds them anew, until when their columns prune nothing. Each step is verified before the version goes up, and can
 be repeated after a failure.
 """
 
@@ -52,8 +53,17 @@ def _aliases(spark: SparkSession, meta: IndexMetadata, tables: IndexTables) -> N
             raise StorageMigrationException(f"the values of {x['as_column']} are missing")
 
 
+def _filters(spark: SparkSession, meta: IndexMetadata, tables: IndexTables) -> None:
+    files = Files(spark)
+    for kind, columns in (("bloom", list(meta.bloom)), ("auto_bloom", meta.auto_bloom)):
+        for column in columns:
+            files.delete(tables.of(kind, column).path)
+    meta.built = [c for c in meta.built if c not in meta.bloom]
+    meta.auto_bloom = []
+
+
 #: By the version that a step starts from.
-STEPS = {1: _sizes, 2: _aliases}
+STEPS = {1: _sizes, 2: _aliases, 3: _filters}
 
 
 def migrate(spark: SparkSession, meta: IndexMetadata, tables: IndexTables) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from fileprune import FileIndex, FileList, IndexCatalog, errors, join_index
 from fileprune.functions.schema import field_exists, field_type
-from fileprune.plans.metadata import IndexMetadata
+from fileprune.plans.metadata import STORAGE_VERSION, IndexMetadata
 from fileprune.plans.planner import create_batches
 from fileprune.sources.lock import IndexLock
 from fileprune.sources.paths import clean_file_name, validated
@@ -457,10 +457,41 @@ def test_storage_of_earlier_versions(spark, storage):
     body = json.loads(index.metadata.dump()) | {"storage_format_version": 1, "of_another_tool": [1]}
     index.files.replace(f"{index.path}/metadata.json", json.dumps(body))
     again = FileIndex(spark, "e")
-    assert again.metadata.storage_format_version == 3 and json.loads(again.files.read(f"{again.path}/metadata.json"))["of_another_tool"] == [1]
+    assert again.metadata.storage_format_version == STORAGE_VERSION and json.loads(again.files.read(f"{again.path}/metadata.json"))["of_another_tool"] == [1]
     assert again.tables.stats().read().first()["file_size"] == len((storage / "e.json").read_bytes())
     assert names(again.locate_files({"user_id": [3]})) == {"e.json"}
     index.files.replace(f"{index.path}/metadata.json", json.dumps(body | {"storage_format_version": 2}))
     (postings / "user_id").rename(postings / "lost")
     with pytest.raises(errors.StorageMigrationException):
         FileIndex(spark, "e")
+
+
+def test_filters_of_an_earlier_version_are_built_anew(spark, parts):
+    index = index_of(spark, parts, lambda i: (i.add_bloom_index("Id"), i.add_index("Version")))
+    index.files.replace(f"{index.path}/metadata.json", json.dumps(json.loads(index.metadata.dump()) | {"storage_format_version": 3}))
+    again = FileIndex(spark, "t")
+    assert again.columns_to_backfill() == {"Id"} and names(again.locate_files({"Id": [2]})) == {"part0.csv", "part1.csv"}
+    again.update()
+    assert names(again.locate_files({"Id": [2]})) == {"part0.csv"}
+
+
+def test_bloom_filters(spark):
+    """No value is lost, and of others about as many are found as asked for; a file's filter has several blocks."""
+    from fileprune.functions import bloom
+
+    rows = [(f"f{f}", v) for f, n in ((0, 3), (1, 500), (2, 20_000)) for v in range(f * 100_000, f * 100_000 + n)]
+    values = spark.createDataFrame(rows, "filename string, value int")
+    for fpr in (0.1, 0.01):
+        filters = bloom.build(values, fpr).cache()
+        assert filters.where("filename = 'f2'").count() > 10
+        asked = lambda ids: spark.createDataFrame([(i,) for i in ids], "value int")
+        for f, v in rows[::4001]:
+            assert f in {r.filename for r in bloom.probe(filters, asked([v]), fpr).collect()}
+        one = F.lit(1).cast("long")
+        found = filters.where("filename = 'f2'").join(
+            spark.range(10_000_000, 10_020_000).select(F.col("id").cast("string").alias("value"), F.lit(filters.where("filename = 'f2'").first().m).alias("m")).select(
+                "m", bloom._block(F.col("value"), F.col("m")), bloom._positions(F.col("value"), bloom.hashes(fpr)).alias("positions")
+            ), ["m", "block"],
+        ).where(F.forall("positions", lambda p: F.call_function("shiftright", F.element_at("words", F.floor(p / 64).cast("int") + 1), p % 64).bitwiseAND(one) == 1)).count()
+        assert found < 1.3 * fpr * 20_000
+    assert bloom.probe(bloom.build(values, 0.1), spark.createDataFrame([], "value int"), 0.1).count() == 0
