@@ -74,25 +74,25 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """The bits of each row, lowest first: of one hash, or of several in a row."""
+    return np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
 
 
-def _ones(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit; 255 at a time are added up as bytes."""
-    total = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 255 * 256):
-        bits = _bits(hashes[i : i + 255 * 256])
-        whole = len(bits) // 255
-        total += np.add.reduce(bits[: whole * 255].reshape(whole, 255, BITS), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        total += np.add.reduce(bits[whole * 255 :], axis=0, dtype=np.uint8)
-    return total
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Whether a bit is set in over half of the rows, as 64-bit numbers; 255 rows at a time are added up as bytes."""
+    bits = BITS * hashes[:1].size
+    total = np.zeros(bits, np.int64)
+    for i in range(0, len(hashes), 255 * 64):
+        part = _bits(hashes[i : i + 255 * 64])
+        whole = len(part) // 255
+        total += np.add.reduce(part[: whole * 255].reshape(whole, 255, bits), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        total += np.add.reduce(part[whole * 255 :], axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")
 
 
 def fingerprint(hashes: np.ndarray) -> int:
     """Bit i is 1 if it is set in over half of the hashes; zero without hashes."""
-    if not len(hashes):
-        return 0
-    return int(np.packbits(2 * _ones(hashes) > len(hashes), bitorder="little").view("<u8")[0])
+    return int(_majority(hashes)[0]) if len(hashes) else 0
 
 
 def _signed(values) -> np.ndarray:
@@ -282,11 +282,10 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 
 def wide_print(hashes: np.ndarray) -> list[int]:
     """WIDE_WORDS fingerprints by as many hashes of the hashes."""
-    out = []
-    for _ in range(WIDE_WORDS):
-        out.append(fingerprint(hashes))
-        hashes = _mixed(hashes)
-    return out
+    columns = [hashes]
+    for _ in range(WIDE_WORDS - 1):
+        columns.append(_mixed(columns[-1]))
+    return _majority(np.stack(columns, axis=1)).tolist()
 
 
 def wide_blocks(hashes: np.ndarray, similarity: float) -> list[int]:
