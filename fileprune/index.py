@@ -429,6 +429,10 @@ class FileIndex:
             rows = rows.where(where)
         return rows.select(*(F.col(f"`{c}`") for c in (self.selected or self.schema.names)))
 
+    def state(self) -> tuple:
+        """Changes whenever the ledger, what is indexed, or the definition does."""
+        return self.file_list.table.state(), self.tables.stats().state(), self._meta.dump()
+
     def ledger(self) -> set[str]:
         """The names of all files, indexed or not."""
         return {r["filename"] for r in self.file_list.files.select("filename").collect()}

@@ -16,8 +16,19 @@ from fileprune.sources.fs import Files
 from fileprune.sources.paths import validated
 
 
-#: By application: the views that were registered and their indexes.
-_views: dict[str, dict[str, str]] = {}
+@dataclass
+class _View:
+    """A registered view: its index, the state of that when the view was made, its rows, and the files that weren't indexed then."""
+
+    name: str
+    state: tuple
+    rows: DataFrame
+    files: set[str]
+    unindexed: set[str]
+
+
+#: By application and name, the views that were registered.
+_views: dict[tuple[str, str], _View] = {}
 
 
 @dataclass(frozen=True)
@@ -38,7 +49,7 @@ class IndexSummary:
 class IndexCatalog:
     def __init__(self, spark: SparkSession):
         self.spark, self.files = spark, Files(spark)
-        self._last: dict[str, tuple[FileIndex, set[str] | None]] = {}
+        self._last: dict[str, tuple[FileIndex, set[str]]] = {}
 
     def _root(self) -> str:
         return f"{storage_path(self.spark)}/indexes"
@@ -89,29 +100,39 @@ class IndexCatalog:
         A view is a plain DataFrame, so SQL over it is all of Spark SQL with column pruning and pushed filters. ``sql`` reads
         the ledger anew and prunes; a view that is read otherwise has the files of the time it was registered.
         """
-        self._view(self.get(name), view or name)
-        _views.setdefault(self.spark.sparkContext.applicationId, {})[view or name] = name
+        _views.pop((self.spark.sparkContext.applicationId, view or name), None)
+        self._made(self.get(name), view or name)
 
     def register_all(self, prefix: str = "") -> list[str]:
         for name in self.list():
             self.register(name, prefix + name)
         return [prefix + n for n in self.list()]
 
-    def _view(self, index: FileIndex, view: str, files: set[str] | None = None) -> None:
-        rows = index.rows(index.ledger() if files is None else files)
-        rows.select(*(F.col(f"`{c}`") for c in index.schema.names)).createOrReplaceTempView(view)
+    @staticmethod
+    def _rows(index: FileIndex, files: set[str]) -> DataFrame:
+        return index.rows(files).select(*(F.col(f"`{c}`") for c in index.schema.names))
+
+    def _made(self, index: FileIndex, view: str) -> _View:
+        """The view of all files of the ledger, made anew if the index has changed since."""
+        key, state = (self.spark.sparkContext.applicationId, view), (index.path, index.state())
+        now = _views.get(key)
+        if now is None or now.state != state:
+            files = index.ledger()
+            now = _views[key] = _View(index.name, state, self._rows(index, files), files, index.unindexed_files())
+            now.rows.createOrReplaceTempView(view)
+        return now
 
     def sql(self, query: str) -> DataFrame:
         """``query`` over registered views, which follow their ledgers, reading only files that can matter.
 
         Equalities and IN lists on indexed columns, bounds on range indexes, and equi-joins with anything (inner, semi, or outer
-        where the index's unmatched rows are lost) prune. All conditions are still applied to the rows, so the result is
-        that of the unpruned query. ``report`` says what a view of the last query read.
+        where the index's unmatched rows are lost) prune; files that aren't indexed yet are read always. All conditions are
+        still applied to the rows, so the result is that of the unpruned query. ``report`` says what a view of the last query read.
         """
-        views = {v: n for v, n in _views.get(self.spark.sparkContext.applicationId, {}).items() if re.search(rf"(?i)(?<!\w){re.escape(v)}(?!\w)", query) and self.exists(n)}
-        indexes = {name: self.get(name) for name in set(views.values())}
-        for view, name in views.items():
-            self._view(indexes[name], view)
+        application = self.spark.sparkContext.applicationId
+        names = {v: x.name for (a, v), x in _views.items() if a == application and re.search(rf"(?i)(?<!\w){re.escape(v)}(?!\w)", query) and self.exists(x.name)}
+        indexes = {name: self.get(name) for name in set(names.values())}
+        views = {view: self._made(indexes[name], view) for view, name in names.items()}
         needed = {}
         if views:
             key = "spark.sql.optimizer.inSetConversionThreshold"  # lists of literals stay readable in the plan
@@ -121,17 +142,18 @@ class IndexCatalog:
                 needed = needed_files(self.spark, self.spark.sql(query), indexes)
             finally:
                 self.spark.conf.set(key, before)
-        for view, name in views.items():
-            if name in needed:
-                self._view(indexes[name], view, needed[name])
-        out = self.spark.sql(query)
-        for view, name in views.items():
-            self._last[view] = (indexes[name], needed.get(name))
-            if name in needed:
-                self._view(indexes[name], view)
-        return out
+        pruned = {view: needed[now.name] | now.unindexed for view, now in views.items() if now.name in needed}
+        try:
+            for view, files in pruned.items():
+                self._rows(indexes[views[view].name], files).createOrReplaceTempView(view)
+            return self.spark.sql(query)
+        finally:
+            for view, now in views.items():
+                self._last[view] = (indexes[now.name], pruned.get(view, now.files))
+                if view in pruned:
+                    now.rows.createOrReplaceTempView(view)
 
     def report(self, view: str) -> PruneReport | None:
         """What the last query of ``sql`` read of a view; counted when it is asked for."""
         index, files = self._last[view]
-        return index.report_of(index.ledger() if files is None else files)
+        return index.report_of(files)

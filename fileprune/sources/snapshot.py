@@ -45,6 +45,11 @@ class SnapshotTable:
             known = _read[place] = (names[-1], body | {"mark": self.files.modified(f"{self.path}/_commits/{names[-1]}")}, None)
         return known[1]
 
+    def state(self) -> tuple:
+        """Changes whenever the table does."""
+        now = self._newest()
+        return self.path, now["version"], now.get("mark")
+
     def _commit(self, old: dict, **change) -> None:
         new = {k: v for k, v in old.items() if k != "mark"} | change | {"version": old["version"] + 1, "time": time.time()}
         self.files.create(f"{self.path}/_commits/{new['version']:012d}.json", json.dumps(new))  # fails if another was first
