@@ -152,7 +152,9 @@ def left_semi_df_left(spark, sf_dir):
 
 
 def left_anti_df_left(spark, sf_dir):
-    return join_index(_segment(spark, sf_dir), _by_customer(spark, sf_dir), "o_custkey", "left_anti")
+    """Of twice the customers' keys, half of which are nobody's, those without orders."""
+    twice = _table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("o_custkey"), "c_name")
+    return join_index(twice, _by_customer(spark, sf_dir), "o_custkey", "left_anti")
 
 
 def left_outer_df_left(spark, sf_dir):
@@ -305,7 +307,7 @@ def sql_view_theta(spark, sf_dir):
 
 
 def stats(spark, sf_dir):
-    return _by_order(spark, sf_dir).stats().select("Column", "FileCount", "MinValues", "MaxValues", F.col("AvgValues").cast("double").alias("AvgValues"))
+    return _by_order(spark, sf_dir).stats().withColumns({c: F.col(c).cast("double") for c in ("AvgValues", "StdDev")})
 
 
 def _fresh(spark, sf_dir, kind: str) -> tuple[FileIndex, str]:
@@ -347,7 +349,7 @@ def delete_files(spark, sf_dir):
 
 def catalog_df(spark, sf_dir):
     _by_customer(spark, sf_dir)
-    return IndexCatalog(spark).to_df().where("name = 'orders_by_customer'").select("name", "format", "indexes", "file_count")
+    return IndexCatalog(spark).to_df().where("name = 'orders_by_customer'").drop("total_size")
 
 
 def join_before_update(spark, sf_dir):
@@ -462,7 +464,7 @@ ORACLE_SQL: dict[str, str] = {
     "regular_inner_join": f"SELECT o_custkey, c_name, {_SUM} FROM orders JOIN {_SEGMENT} s USING (o_custkey) GROUP BY ALL",
     "df_left_inner_join": f"SELECT o_custkey, c_name, {_SUM} FROM {_SEGMENT} s JOIN orders USING (o_custkey) GROUP BY ALL",
     "left_semi_df_left": f"SELECT * FROM {_SEGMENT} s WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = s.o_custkey)",
-    "left_anti_df_left": f"SELECT * FROM {_SEGMENT} s WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = s.o_custkey)",
+    "left_anti_df_left": "SELECT c_custkey * 2 AS o_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey * 2)",
     "left_outer_df_left": f"SELECT o_custkey, c_name, {_SUM} FROM {_SEGMENT} s LEFT JOIN orders USING (o_custkey) GROUP BY ALL",
     "right_outer_located": f"SELECT o_custkey, c_name, {_SUM} FROM {_LOCATED} o RIGHT JOIN {_SEGMENT} s USING (o_custkey) GROUP BY ALL",
     "full_outer_located": f"SELECT o_custkey, c_name, {_SUM} FROM {_LOCATED} o FULL JOIN {_SEGMENT} s USING (o_custkey) GROUP BY ALL",
@@ -491,11 +493,11 @@ ORACLE_SQL: dict[str, str] = {
     "sql_view_left_join": "SELECT c_nationkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "sql_view_theta": "SELECT c_custkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 20 GROUP BY ALL",
     "stats": f"""WITH d AS (SELECT {_LSHARD} AS shard, count(DISTINCT l_orderkey) AS a, count(DISTINCT l_partkey) AS b FROM lineitem GROUP BY 1), u AS (SELECT 'l_orderkey' AS "Column", a AS n FROM d UNION ALL SELECT 'l_partkey', b FROM d)
-        SELECT "Column", count(*) AS "FileCount", min(n)::INT AS "MinValues", max(n)::INT AS "MaxValues", round(avg(n), 1) AS "AvgValues" FROM u GROUP BY 1""",
+        SELECT "Column", count(*) AS "FileCount", min(n)::INT AS "MinValues", max(n)::INT AS "MaxValues", round(avg(n), 1) AS "AvgValues", quantile_disc(n, 0.5)::INT AS "MedianValues", round(stddev_samp(n), 1) AS "StdDev" FROM u GROUP BY 1""",
     "incremental_update": f"SELECT o_orderstatus, {_SUM} FROM orders WHERE {_OSHARD} IN (0, 1, 2) GROUP BY ALL",
     "backfill": f"SELECT DISTINCT {_OSHARD}::BIGINT AS shard FROM orders WHERE o_orderpriority = '1-URGENT' INTERSECT SELECT DISTINCT {_OSHARD}::BIGINT AS shard FROM orders WHERE o_custkey IN (1, 2, 3)",
     "delete_files": f"SELECT o_orderstatus, {_SUM} FROM orders WHERE {_OSHARD} <> 0 GROUP BY ALL",
-    "catalog_df": f"SELECT 'orders_by_customer' AS name, 'parquet' AS format, 'o_custkey' AS indexes, count(DISTINCT {_OSHARD}) AS file_count FROM orders",
+    "catalog_df": f"""SELECT 'orders_by_customer' AS name, 'parquet' AS format, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns, 'o_custkey' AS indexes, '' AS bloom, '' AS "range", '' AS temporal, '' AS computed, '' AS exploded, count(DISTINCT {_OSHARD}) AS file_count FROM orders""",
     "join_before_update": f"SELECT c_name, 0::BIGINT AS n, NULL::TIMESTAMP AS newest FROM {_SEGMENT} s GROUP BY ALL",
     "pending_backfill": f"SELECT o_orderpriority, {_SUM} FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL",
     "scan_history": "SELECT event_id, user_id FROM events WHERE user_id IN (1, 2, 3)",
