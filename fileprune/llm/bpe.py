@@ -292,7 +292,7 @@ def text_encoder(path: str, pattern: str) -> TextEncoder:
     return _encoders[path, pattern]
 
 
-def slices(column: pa.Array, most: int = 1_000_000, rows: int = 2_000) -> Iterator[tuple[int, list[str]]]:
+def slices(column: pa.Array, most: int = 400_000, rows: int = 2_000) -> Iterator[tuple[int, list[str]]]:
     """Texts of a column, null as empty, in runs of bounded length; a longer text comes alone."""
     begin, held, size = 0, [], 0
     for i, value in enumerate(column):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fileprune.llm.bpe import slices
 from fileprune.llm.common import fold, label_sample, unused
-from fileprune.llm.words import BY_WHITE_SPACE, Rows, WordIndex, only_here, word_spans
+from fileprune.llm.words import BY_WHITE_SPACE, Rows, WordIndex, give_back, only_here, word_spans
 
 #: Labelled rows that training takes at most, in the order of a hash of their doc_id.
 TRAINING_ROWS = 3_000
@@ -167,7 +167,9 @@ def score(docs: DataFrame, model: QualityModel, columns: tuple[str, ...] = ("doc
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> QualityModel:
     """The model of the labels outside the held-out fold."""
-    return train(label_sample(docs, labels, "quality", FOLDS, HELD_OUT, rows))
+    model = train(label_sample(docs, labels, "quality", FOLDS, HELD_OUT, rows))
+    give_back()
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:

@@ -16,7 +16,9 @@ buckets, which differ in no more buckets than the sets do in shingles, and then
 Equal texts are one row from the start. Each row is first held against one other row of its blocks, the first that is
 near, which connects a family of near copies in one pass however large it is. What a block then still has in different
 components is compared in tiles of a bounded number of rows: rows of one component are never compared again, so a block whose
-rows are connected costs nothing more. No pair within the Hamming limit is left out.
+rows are connected costs nothing more. Blocks that very many texts share, for a passage that all of them have, would still cost the
+square of their rows. Their rows are found by a prefix filter instead, in the order of how rare a shingle is among them:
+what everybody has comes last and is no key. It is exact, so no pair within the Hamming limit is left out either way.
 """
 
 from __future__ import annotations
@@ -55,6 +57,8 @@ SMALL, PARITY_WORDS = 64, 4
 WIDE, PARITY = [f"w{i}" for i in range(WIDE_WORDS)], [f"o{i}" for i in range(PARITY_WORDS)]
 #: Rows that one copy of the row they are held against is sent to.
 FAN = 512
+#: Blocks with more rows than this, in different components, aren't compared in tiles: their rows meet by their rarest shingles.
+HOT = 16 * TILE
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -477,6 +481,18 @@ def _held_against(pairs: DataFrame, sets: DataFrame, similarity: float, scratch:
         return scratch.written(ready.mapInArrow(run, "u long, v long"), "links")
 
 
+def rare_shingles(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(id, key): the rarest shingles of each of ``sets`` (id, hashes), as many as it takes to share one with every set that similar; those of one set only are left out."""
+    each = sets.select("id", F.explode("hashes").alias("key"))
+    often = scratch.written(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shingle-counts")
+    shared = each.join(often, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"))  # a text's own
+    size = F.size("hashes")
+    prefix = size - F.ceil(size * F.lit(similarity) - 1e-9) + 1
+    alone = prefix - (size - F.size("found"))  # shingles of one set come first and take their part of the prefix
+    rows = sets.join(shared, "id").where(alone > 0)
+    return scratch.written(rows.select("id", F.explode(F.slice("found", F.lit(1), alone.cast("int"))).alias("x")).select("id", F.col("x.key").alias("key")), "rare-shingles")
+
+
 def near_links(docs: DataFrame, sketches: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(u, v): ids of ``sketches`` whose shingle sets have at least that similarity; enough of them to connect what is similar."""
     prints = [*WIDE, *PARITY]
@@ -497,8 +513,16 @@ def near_links(docs: DataFrame, sketches: DataFrame, words: int, similarity: flo
 
     roots = components(links, scratch)
     named = roots.select(F.col("node").alias("id"), "root")
-    rooted = members.where("n > 2").select("key", "id").join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    tiled = dealt(scratch.written(rooted, "rooted"), []).join(facts, "id")
+    rooted = members.where("n > 2").select("key", "id", "n").join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = scratch.written(rooted, "rooted")
+    met = rooted.where(F.col("n") <= HOT).drop("n")
+    hot = rooted.where(F.col("n") > HOT)
+    if not hot.isEmpty():
+        split = hot.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        hot = scratch.written(hot.join(split, "key").select("id", "root").distinct(), "hot")
+        rare = rare_shingles(shingle_sets(docs, hot.select("id"), sketches, words, scratch), similarity, scratch)
+        met = met.unionByName(rare.join(hot, "id"))
+    tiled = dealt(met, []).join(facts, "id")
     # of a key of two rows the pair was seen above
     unlinked = near.join(named, "id", "left").join(named.select(F.col("id").alias("pivot"), F.col("root").alias("_root")), "pivot", "left")
     unlinked = unlinked.where(F.coalesce("root", "id") != F.coalesce("_root", "pivot")).select(F.col("id").alias("u"), F.col("pivot").alias("v"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fileprune.llm.bpe import slices
 from fileprune.llm.common import fold, label_sample, unused
-from fileprune.llm.words import BY_WHITE_SPACE, Rows, WordIndex, only_here, word_spans
+from fileprune.llm.words import BY_WHITE_SPACE, Rows, WordIndex, give_back, only_here, word_spans
 
 #: Labelled rows that training takes at most, in the order of a hash of their doc_id.
 TRAINING_ROWS = 3_000
@@ -35,7 +35,7 @@ DOCUMENTS_SEEN, EMBEDDING_RATE = 6, 20.0
 #: Words whose projections a worker remembers before it starts anew.
 REMEMBERED = 150_000
 #: Windows that are scored together.
-TOGETHER = 2_048
+TOGETHER = 1_024
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -129,7 +129,7 @@ class ToxicityModel:
         saved: dict[str, list] = {"f": [], "b": []}
         for d, first in (("f", 0), ("b", h3)):
             u, c = self.dense[f"u{d}"], self.dense[f"c{d}"]
-            part = np.ascontiguousarray(table[:, first : first + h3])
+            part = table[:, first : first + h3]
             h = np.zeros((size, HIDDEN), np.float32)
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
                 p, hu = part[at[:, t]], h @ u
@@ -253,7 +253,7 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 2) -> Tox
     return model
 
 
-def _hashed(data: np.ndarray, starts: np.ndarray, together: int = 100_000) -> np.ndarray:
+def _hashed(data: np.ndarray, starts: np.ndarray, together: int = 20_000) -> np.ndarray:
     """First hashes of all words, some at a time."""
     index, out = WordIndex(16), []
     for i in range(0, len(starts), together):
@@ -270,8 +270,8 @@ def _shared_buckets(row: np.ndarray, doc: np.ndarray, vocabulary, data: np.ndarr
     words = np.bincount(_bucket(one[pairs >> 32], WORD_BITS), minlength=1 << WORD_BITS) >= DOCUMENTS_SEEN
     appears = np.bincount(pairs >> 32, minlength=len(starts))
     seen = np.zeros(1 << GRAM_BITS, np.int64)
-    for i in range(0, len(starts), 50_000):
-        gram, owner = grams(data, starts[i : i + 50_000], ends[i : i + 50_000])
+    for i in range(0, len(starts), 10_000):
+        gram, owner = grams(data, starts[i : i + 10_000], ends[i : i + 10_000])
         seen += np.bincount(gram, appears[i + owner], 1 << GRAM_BITS).astype(np.int64)
     return words, seen >= DOCUMENTS_SEEN
 
@@ -334,7 +334,9 @@ def score(docs: DataFrame, model: ToxicityModel, columns: tuple[str, ...], name:
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> ToxicityModel:
     """The model of the labels outside the held-out fold."""
-    return train(label_sample(docs, labels, "toxic", FOLDS, HELD_OUT, rows))
+    model = train(label_sample(docs, labels, "toxic", FOLDS, HELD_OUT, rows))
+    give_back()
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:

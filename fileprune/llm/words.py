@@ -40,14 +40,19 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _holding: list[tuple[str, Callable[[], None]]] = []
 
 
+def give_back() -> None:
+    """Free memory goes back to the system: what C libraries keep of it counts against an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def only_here(name: str, clear: Callable[[], None]) -> None:
-    """A worker process keeps what one operator remembers: another's is cleared when this one begins."""
+    """At the begin of a task: a worker process keeps what one operator remembers; another's is cleared when this one begins."""
     if _holding and _holding[0][0] != name:
         _holding.pop()[1]()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+    give_back()
     if not _holding:
         _holding.append((name, clear))
 

@@ -315,6 +315,27 @@ def test_near_duplicates_of_one_template(spark, monkeypatch):
     wanted = brute_groups(texts)
     assert 20 < len(wanted) < 290
     assert near_groups(spark, texts) == wanted
+    monkeypatch.setattr(simhash, "HOT", 2)  # every block's rows meet by their rarest shingles
+    assert near_groups(spark, texts) == wanted
+
+
+def test_near_duplicates_around_a_passage(spark, monkeypatch):
+    """Hundreds of texts share a passage and little else; a few are alike. Blocks of the passage are hot, its shingles no keys."""
+    monkeypatch.setattr(simhash, "HOT", 50)
+    rng = random.Random(15)
+    passage, texts = [f"p{i}" for i in range(80)], []
+    for i in range(250):
+        own = [f"o{i}_{j}" for j in range(rng.choice([5, 15, 60]))]
+        at = rng.randrange(len(own))
+        texts.append(" ".join(own[:at] + passage + own[at:]))
+        if i % 10 == 0:
+            texts.append(" ".join(own[:at] + passage[:-2] + own[at:]))
+    hot = []
+    plain = simhash.rare_shingles
+    monkeypatch.setattr(simhash, "rare_shingles", lambda *a: hot.append(plain(*a)) or hot[-1])
+    wanted = brute_groups(texts)
+    assert 20 < len(wanted) < len(texts) and near_groups(spark, texts) == wanted
+    assert hot
 
 
 def test_near_duplicates_of_large_families(spark, monkeypatch):
