@@ -36,9 +36,11 @@ def clean_file_name(name: str) -> str:
 
 
 def working_root(spark: SparkSession) -> str:
-    """A folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """A folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset, on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.fileprune.workDir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fileprune-work-")
         spark.conf.set("spark.fileprune.workDir", root)
     return root.rstrip("/")
