@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from fileprune.index import FileIndex, join_index
 from fileprune.plans.catalog import IndexCatalog
+from fileprune.sources.filelist import FileList
 from fileprune.sources.paths import working_root
+from fileprune.streaming.incremental import index_stream
 
 _made: dict[tuple, object] = {}
 
@@ -444,6 +446,98 @@ def sql_temporal_join(spark, sf_dir):
     return IndexCatalog(spark).sql("SELECT event_id, user_id, event_type FROM fp_events JOIN fp_asked USING (user_id)")
 
 
+def range_locate_many(spark, sf_dir):
+    """More values than are held one by one: their least and greatest decide."""
+    dates = _table(spark, sf_dir, "orders").where("o_orderdate >= TIMESTAMP '1996-01-01'").select(F.col("o_orderdate").alias("l_shipdate"))
+    return _shard_numbers(_by_date(spark, sf_dir).locate(dates))
+
+
+def file_list_life(spark, sf_dir):
+    path = _sharded(spark, sf_dir, "orders")
+    _root(spark, sf_dir)
+    files = FileList(spark, f"list_{uuid.uuid4().hex}")
+    files.add_file(path, f"{path}/_shard=1")
+    files.remove_file(f"{path}/_shard=0")
+    if files.has_file(f"{path}/_shard=0") or not FileList.exists(spark, files.name):
+        raise ValueError("the ledger is wrong")
+    return _shard_numbers(files.files)
+
+
+def unindexed_files(spark, sf_dir):
+    index, path = _fresh(spark, sf_dir, "unindexed")
+    index.add_index("o_custkey")
+    index.add_file(f"{path}/_shard=2", f"{path}/_shard=5")
+    index.update()
+    index.add_file(path)
+    return _shard_numbers(spark.createDataFrame([(f,) for f in sorted(index.unindexed_files())], "filename string"))
+
+
+def compacted(spark, sf_dir):
+    """Several updates, a deletion, compaction and vacuum, each by itself and on its own after two batches."""
+    spark.conf.set("spark.fileprune.autoCompactThreshold", "2")
+    try:
+        index, path = _fresh(spark, sf_dir, "compacted")
+        index.add_index("o_custkey")
+        for shard in (0, 1, 2, 3):
+            index.add_file(f"{path}/_shard={shard}")
+            index.update()
+    finally:
+        spark.conf.unset("spark.fileprune.autoCompactThreshold")
+    index.delete_files(f"{path}/_shard=2")
+    index.compact()
+    index.vacuum(0)
+    keys = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return _summed(index.join(keys, "o_custkey"), "o_orderpriority")
+
+
+def batched_update(spark, sf_dir):
+    """Files are indexed in batches of few distinct values; statistics are those of the files."""
+    conf = {"spark.fileprune.batchedUpdate": "true", "spark.fileprune.largeIndexLimit": "300"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        index, path = _fresh(spark, sf_dir, "batched")
+        index.add_index("o_custkey")
+        index.add_file(path)
+        index.update()
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    shard = F.regexp_extract("filename", r"_shard=(\d+)", 1).cast("long").alias("shard")
+    return index.tables.stats().read().groupBy(shard).agg(F.sum("n_rows").alias("n"), F.sum("nd_o_custkey").alias("keys"))
+
+
+def temporal_select(spark, sf_dir):
+    """The timestamp that decides isn't selected."""
+    return _by_user(spark, sf_dir).select("event_id", "user_id").join(_users(spark, sf_dir), "user_id")
+
+
+def sql_temporal_scan(spark, sf_dir):
+    _by_user(spark, sf_dir)
+    IndexCatalog(spark).register("events_by_user", "fp_events")
+    return IndexCatalog(spark).sql("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM fp_events GROUP BY event_type")
+
+
+def streamed_update(spark, sf_dir):
+    """An index that follows a stream of file names."""
+    index, path = _fresh(spark, sf_dir, "streamed")
+    index.add_index("o_custkey")
+    place = f"{_root(spark, sf_dir)}/{index.name}"
+    spark.createDataFrame([(f"{path}/_shard={i}",) for i in (1, 3, 6)], "value string").write.text(f"{place}/names")
+    index_stream(index, spark.readStream.text(f"{place}/names"), "value", f"{place}/checkpoint").awaitTermination()
+    keys = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return _summed(index.join(keys, "o_custkey"), "o_orderstatus")
+
+
+def removed_index(spark, sf_dir):
+    index, path = _fresh(spark, sf_dir, "removed")
+    index.add_index("o_custkey")
+    index.add_file(path)
+    found = [FileIndex.exists(spark, index.name), IndexCatalog(spark).exists(index.name), index.name in IndexCatalog(spark).list(), index.name in IndexCatalog(spark).find_indexes(sorted(index.unindexed_files())[0])]
+    FileIndex.remove(spark, index.name)
+    return spark.createDataFrame([(all(found), FileIndex.exists(spark, index.name))], "before boolean, after boolean")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -452,6 +546,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         empty_locate, temporal_locate, temporal_join, temporal_with_other_predicate, temporal_two_keys, computed_join, exploded_join, select_projection, scan_eq, scan_in,
         scan_full, sql_view_join, sql_view_left_join, sql_view_theta, stats, incremental_update, backfill, delete_files, catalog_df,
         join_before_update, pending_backfill, scan_history, scan_exploded, auto_bloom_locate, sql_where_eq, sql_where_in, sql_where_range, sql_after_update, sql_join_pruned, sql_temporal_join,
+        range_locate_many, file_list_life, unindexed_files, compacted, batched_update, temporal_select, sql_temporal_scan, streamed_update, removed_index,
     )
 }
 
@@ -510,4 +605,13 @@ ORACLE_SQL: dict[str, str] = {
     "sql_join_pruned": f"""WITH c AS (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000 AND c_nationkey = 3)
         SELECT o_custkey, c_name, {_SUM}, (SELECT count(DISTINCT {_OSHARD}) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)) AS files_read FROM orders JOIN c ON o_custkey = c_custkey GROUP BY ALL""",
     "sql_temporal_join": f"SELECT event_id, user_id, event_type FROM {_LATEST} WHERE k = 1 AND user_id IN (1, 5, 9)",
+    "range_locate_many": "WITH r AS (SELECT (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS shard, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1) SELECT shard FROM r WHERE b >= (SELECT min(o_orderdate) FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01') AND a <= (SELECT max(o_orderdate) FROM orders)",
+    "file_list_life": f"SELECT DISTINCT {_OSHARD}::BIGINT AS shard FROM orders WHERE {_OSHARD} <> 0",
+    "unindexed_files": f"SELECT DISTINCT {_OSHARD}::BIGINT AS shard FROM orders WHERE {_OSHARD} NOT IN (2, 5)",
+    "compacted": f"SELECT o_orderpriority, {_SUM} FROM orders WHERE {_OSHARD} IN (0, 1, 3) GROUP BY ALL",
+    "batched_update": f"SELECT {_OSHARD}::BIGINT AS shard, count(*) AS n, count(DISTINCT o_custkey) AS keys FROM orders GROUP BY 1",
+    "temporal_select": f"SELECT event_id, user_id FROM {_LATEST} WHERE k = 1",
+    "sql_temporal_scan": f"SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM {_LATEST} WHERE k = 1 GROUP BY ALL",
+    "streamed_update": f"SELECT o_orderstatus, {_SUM} FROM orders WHERE {_OSHARD} IN (1, 3, 6) GROUP BY ALL",
+    "removed_index": "SELECT true AS before, false AS after",
 }
