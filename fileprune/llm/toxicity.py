@@ -281,7 +281,7 @@ class Scorer:
 
     def __init__(self, model: ToxicityModel):
         self.model, self.index = model, WordIndex(REMEMBERED)
-        self.table, self.generation = Rows(np.float32, (6 * HIDDEN,)), self.index.generation
+        self.table, self.generation = Rows(np.float32, (6 * HIDDEN,), REMEMBERED), self.index.generation
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probability of label 1 for each whole text; next to 0 for texts without words, in which nothing is toxic."""
@@ -289,7 +289,7 @@ class Scorer:
         one, two = self.index.hashes(data, starts, BY_WHITE_SPACE)
         row, new = self.index.rows(one, two)
         if self.generation != self.index.generation:
-            self.table, self.generation = Rows(np.float32, (6 * HIDDEN,)), self.index.generation
+            self.table, self.generation = Rows(np.float32, (6 * HIDDEN,), REMEMBERED), self.index.generation
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
             self.table.extend(self.model.projected(self.model.inputs(data, starts[part], ends[part], one[part])[0]))

@@ -158,10 +158,10 @@ class WordIndex:
 
 
 class Rows:
-    """An array whose rows follow a WordIndex: it grows by doubling."""
+    """An array whose rows follow a WordIndex, with room for ``most`` rows (memory is taken as it fills); beyond, it grows by doubling."""
 
-    def __init__(self, dtype, width: tuple[int, ...] = ()):
-        self.data, self.size = np.zeros((1024, *width), dtype), 0
+    def __init__(self, dtype, width: tuple[int, ...] = (), most: int = 1024):
+        self.data, self.size = np.zeros((most, *width), dtype), 0
 
     def extend(self, more: np.ndarray) -> None:
         need = self.size + len(more)
