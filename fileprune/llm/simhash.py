@@ -45,7 +45,7 @@ from fileprune.llm.words import only_here
 HASH_SEED = 42
 BITS = 64
 #: Rows, and shingles, of one side of a tile.
-TILE, TILE_SHINGLES = 1024, 1 << 20
+TILE, TILE_SHINGLES = 512, 1 << 19
 #: Blocks of the narrow fingerprints: with 6 blocks and 3 bits, 20 keys of 32 bits or so each.
 NARROW_BLOCKS = 6
 #: Most blocks of a wide fingerprint; words of 64 bits of the fingerprints that pairs are compared by; and the Hamming distance up
