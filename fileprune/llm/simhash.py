@@ -554,7 +554,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         roots = components(near_links(docs, sketches, words, similarity, scratch), scratch)
         ids = sketches.select("id", "node").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("node", F.coalesce("root", "id").alias("component"))
         named = scratch.written(nodes.join(ids, "node").select("node", "component", "first"), "components")
-        kept = named.groupBy("component").agg(F.min("first").alias("kept"))
+        # written, so that the rows of a large component can be dealt to several tasks
+        kept = scratch.written(named.groupBy("component").agg(F.min("first").alias("kept")), "kept")
         return written(named.join(kept, "component").select("node", "component", F.col("kept.row").alias("least"), F.col("kept.n").alias("n")), "near-duplicates")
 
 
