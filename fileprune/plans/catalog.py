@@ -100,8 +100,7 @@ class IndexCatalog:
         A view is a plain DataFrame, so SQL over it is all of Spark SQL with column pruning and pushed filters. ``sql`` reads
         the ledger anew and prunes; a view that is read otherwise has the files of the time it was registered.
         """
-        _views.pop((self.spark.sparkContext.applicationId, view or name), None)
-        self._made(self.get(name), view or name)
+        self._made(self.get(name), view or name).rows.createOrReplaceTempView(view or name)
 
     def register_all(self, prefix: str = "") -> list[str]:
         for name in self.list():
@@ -153,6 +152,10 @@ class IndexCatalog:
                 if view in pruned:
                     now.rows.createOrReplaceTempView(view)
 
+    def files_read(self, view: str) -> int:
+        """How many files the last query of ``sql`` read of a view."""
+        return len(self._last[view][1])
+
     def report(self, view: str) -> PruneReport | None:
         """What the last query of ``sql`` read of a view; counted when it is asked for."""
         index, files = self._last[view]

@@ -401,7 +401,7 @@ def _sql(spark, sf_dir, view: str, query: str) -> DataFrame:
     """A query over a view, with the number of the view's files that it read."""
     catalog = IndexCatalog(spark)
     out = catalog.sql(query)
-    return out.withColumn("files_read", F.lit(catalog.report(view).files).cast("long"))
+    return out.withColumn("files_read", F.lit(catalog.files_read(view)).cast("long"))
 
 
 def sql_where_eq(spark, sf_dir):
