@@ -3,8 +3,9 @@
 A word's input is a hashed word vector plus the hashed vectors of its character n-grams (as UTF-8 bytes, with marks for
 its ends). Each window of WINDOW words, one every STRIDE words, is read in both directions; attention over the states
 gives the window's logit, and a document's logit is the largest of all its windows. Training knows labels of documents
-only: in each step the window with the largest logit stands for its document, of the WINDOWS_SEEN that are looked at: the one
-that stood for it before, and others at random. Scoring looks at all windows.
+only: in each step one window stands for each document drawn, of all its windows. Of a clean document it is that with the
+largest logit; of a toxic one it is drawn with odds exp(logit), the gradient of the log of a sum over all windows on
+average: the window that is largest early knows nothing yet, and standing again and again it would be learned by heart.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ THRESHOLD = 0.5
 WINDOW, STRIDE = 64, 32
 WIDTH, HIDDEN, ATTENTION = 12, 8, 8
 WORD_BITS, GRAM_BITS, GRAMS = 14, 15, (3, 4, 5, 6)
-STEPS, BATCH, WINDOWS_SEEN = 400, 24, 5
+STEPS, BATCH = 400, 24
+#: Logits that a training step computes anew, of the windows whose own are oldest; all of them but for very long documents.
+RENEWED = 8_192
 #: Documents that must share a word or n-gram for it to be trained, and how much faster than the rest those vectors learn.
 DOCUMENTS_SEEN, EMBEDDING_RATE = 6, 20.0
 #: Words whose projections a worker remembers before it starts anew.
 REMEMBERED = 150_000
-#: Windows that are scored together.
-TOGETHER = 1_024
+#: Windows that are scored together, and in training.
+TOGETHER, TOGETHER_TRAINING = 1_024, 512
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -204,34 +207,37 @@ def train(rows: list[tuple[str, int]], steps: int = STEPS, seed: int = 2) -> Tox
     one, place, row = np.unique(one, return_index=True, return_inverse=True)
     vocabulary = (starts[place], ends[place], one)
     common = _shared_buckets(row, np.repeat(np.arange(len(counts)), counts), vocabulary, data)
-    stood = np.full(len(rows), -1)  # the first word of the window that stood for a document last
+    begins = [window_starts(int(n)) for n in counts]
+    sizes = np.array([len(x) for x in begins])
+    base = np.cumsum(sizes) - sizes
+    opening, length = np.concatenate(begins) + np.repeat(first, sizes), np.repeat(np.minimum(counts, WINDOW), sizes)
+    logit, renewed = np.zeros(len(length), np.float32), np.zeros(len(length), np.int32)
+
+    def read(windows: np.ndarray):
+        """Of the words of windows: their rows in what follows, input vectors, what these were made of, projections."""
+        at = np.minimum(opening[windows, None] + np.arange(WINDOW), len(row) - 1)
+        used, local = np.unique(row[at], return_inverse=True)
+        x, made = model.inputs(data, *(v[used] for v in vocabulary))
+        return local.reshape(at.shape), x, made, model.projected(x)
+
     moments = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in model.dense.items()}
     sums = [np.full(len(x), 1e-3, np.float32) for x in (model.words, model.grams)]
     for step in range(1, steps + 1):
         docs = np.concatenate([rng.choice(g, BATCH) for g in groups])
-        picked, owner = [], []
-        for i, doc in enumerate(docs):
-            begins = window_starts(int(counts[doc]))
-            if len(begins) > WINDOWS_SEEN:
-                begins = rng.choice(begins, WINDOWS_SEEN, replace=False)
-                if stood[doc] >= 0 and stood[doc] not in begins:
-                    begins[0] = stood[doc]
-            picked += [(first[doc] + b, min(WINDOW, counts[doc])) for b in begins]
-            owner += [i] * len(begins)
-        picked, owner = np.array(picked), np.array(owner)
-        at = np.minimum(picked[:, :1] + np.arange(WINDOW), len(row) - 1)
-        used, local = np.unique(row[at], return_inverse=True)
-        local = local.reshape(at.shape)
-        x, made = model.inputs(data, vocabulary[0][used], vocabulary[1][used], vocabulary[2][used])
-        table = model.projected(x)
-        seen = model.logits(table, local, picked[:, 1])
-        order = np.lexsort((-seen, owner))
-        best = order[np.unique(owner[order], return_index=True)[1]]
-        stood[docs[owner[best]]] = picked[best, 0] - first[docs[owner[best]]]
-        out, cache = model.logits(table, local[best], picked[best, 1], keep=True)
-        y = labels[docs[owner[best]]]
-        slope = ((1 / (1 + np.exp(-out)) - y) / len(best)).astype(np.float32)
-        g, d_table = model.gradients(local[best], cache, slope, len(used))
+        windows = np.concatenate([np.arange(base[d], base[d] + sizes[d]) for d in np.unique(docs)])
+        if len(windows) > RENEWED:
+            windows = np.sort(windows[np.lexsort((rng.random(len(windows)), renewed[windows]))[:RENEWED]])
+        for i in range(0, len(windows), TOGETHER_TRAINING):
+            part = windows[i : i + TOGETHER_TRAINING]
+            local, _, _, table = read(part)
+            logit[part] = model.logits(table, local, length[part])
+        renewed[windows] = step
+        y = labels[docs]
+        best = np.array([base[d] + np.argmax(logit[base[d] : base[d] + sizes[d]] + toxic * rng.gumbel(size=sizes[d])) for d, toxic in zip(docs, y)])
+        local, x, made, table = read(best)
+        out, cache = model.logits(table, local, length[best], keep=True)
+        slope = ((1 / (1 + np.exp(-out)) - y) / len(docs)).astype(np.float32)
+        g, d_table = model.gradients(local, cache, slope, len(x))
         d_x, h3 = np.zeros_like(x), 3 * HIDDEN
         for d, begin in (("f", 0), ("b", h3)):
             part = d_table[:, begin : begin + h3]

@@ -576,6 +576,24 @@ def test_toxicity(spark):
     assert toxicity.classify(docs_of(spark, []), labels).count() == 0
 
 
+@pytest.mark.parametrize("renewed", [toxicity.RENEWED, 100])
+def test_toxicity_learns_words_not_documents(monkeypatch, renewed):
+    """One toxic word in a document of many windows, whose other words say nothing, is found in documents not trained on."""
+    monkeypatch.setattr(toxicity, "RENEWED", renewed)
+    rng = random.Random(17)
+    known = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 9))) for _ in range(2000)]
+
+    def text(toxic):
+        words = rng.choices(known, k=rng.randint(150, 600))
+        if toxic:
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["grumpter", "grumpting", "zorkelo", "zorkelish"]))
+        return " ".join(words)
+
+    rows = [(text(i % 5 == 0), int(i % 5 == 0)) for i in range(700)]
+    scores, labels = toxicity.Scorer(toxicity.train(rows[:600])).scores([t for t, _ in rows[600:]]), np.array([y for _, y in rows[600:]])
+    assert (scores[labels == 1] >= 0.5).mean() >= 0.9 and (scores[labels == 0] < 0.5).mean() >= 0.9
+
+
 def test_windows_cover_texts():
     for n in (0, 1, 63, 64, 65, 96, 97, 1000):
         starts = toxicity.window_starts(n)
