@@ -576,10 +576,8 @@ def test_toxicity(spark):
     assert toxicity.classify(docs_of(spark, []), labels).count() == 0
 
 
-@pytest.mark.parametrize("renewed", [toxicity.RENEWED, 100])
-def test_toxicity_learns_words_not_documents(monkeypatch, renewed):
-    """One toxic word in a document of many windows, whose other words say nothing, is found in documents not trained on."""
-    monkeypatch.setattr(toxicity, "RENEWED", renewed)
+def one_word_in_many(n):
+    """Texts of many windows, and whether one toxic word is among the others, which say nothing: every fifth."""
     rng = random.Random(17)
     known = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 9))) for _ in range(2000)]
 
@@ -589,7 +587,14 @@ def test_toxicity_learns_words_not_documents(monkeypatch, renewed):
             words.insert(rng.randrange(len(words) + 1), rng.choice(["grumpter", "grumpting", "zorkelo", "zorkelish"]))
         return " ".join(words)
 
-    rows = [(text(i % 5 == 0), int(i % 5 == 0)) for i in range(700)]
+    return [(text(i % 5 == 0), int(i % 5 == 0)) for i in range(n)]
+
+
+@pytest.mark.parametrize("renewed", [toxicity.RENEWED, 100])
+def test_toxicity_learns_words_not_documents(monkeypatch, renewed):
+    """One toxic word in a document of many windows, whose other words say nothing, is found in documents not trained on."""
+    monkeypatch.setattr(toxicity, "RENEWED", renewed)
+    rows = one_word_in_many(700)
     scores, labels = toxicity.Scorer(toxicity.train(rows[:600])).scores([t for t, _ in rows[600:]]), np.array([y for _, y in rows[600:]])
     assert (scores[labels == 1] >= 0.5).mean() >= 0.9 and (scores[labels == 0] < 0.5).mean() >= 0.9
 
@@ -866,6 +871,17 @@ def brute_copies(rows):
     return out
 
 
+def test_pipeline_drops_toxic(spark, tmp_path):
+    """Of documents without a label the first stage drops the toxic ones and keeps the others."""
+    import corpus_pipeline
+
+    rows = one_word_in_many(950)
+    docs = docs_of(spark, [(i, t, "a") for i, (t, _) in enumerate(rows)])
+    spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows[:750])], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).where("doc_id >= 750").collect()]
+    assert sum(i % 5 == 0 for i in kept) <= 4 and sum(i % 5 != 0 for i in kept) >= 144
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against plain Python on what the stage before kept."""
     import corpus_pipeline
