@@ -30,5 +30,19 @@ def test_against_sql(spark, name):
     assert sorted(plain(got)) == sorted(plain(wanted))
 
 
+def test_sql_temporal_join_with_many_users(spark, tmp_path):
+    """Tables with more users than sf0.1 has: 10,000 is somebody's key there."""
+    import datetime as d
+
+    begin = d.datetime(2024, 1, 1)
+    events = [(i, begin + d.timedelta(hours=i), user, "click", 1.0, "{}") for i, user in enumerate([1, 5, 9, 10_000, 1, 12_000])]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got, _ = rows(entry.queries()["sql_temporal_join"](spark, str(tmp_path)).toPandas())
+    wanted, _ = rows(con.execute(entry.oracle_sql()["sql_temporal_join"]).df())
+    assert got == wanted and len(got) == 3
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["o_custkey", "c_name", "n", "total"]
