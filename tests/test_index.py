@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 
 from fileprune import FileIndex, FileList, IndexCatalog, errors, join_index
 from fileprune.functions.schema import field_exists, field_type
+from fileprune.operators import build
 from fileprune.plans.metadata import STORAGE_VERSION, IndexMetadata
-from fileprune.plans.planner import create_batches
+from fileprune.plans.planner import byte_batches, create_batches
 from fileprune.sources.lock import IndexLock
 from fileprune.sources.paths import clean_file_name, validated
 
@@ -497,3 +498,15 @@ def test_bloom_filters(spark):
         ).where(F.forall("positions", lambda p: F.call_function("shiftright", F.element_at("words", F.floor(p / 64).cast("int") + 1), p % 64).bitwiseAND(one) == 1)).count()
         assert found < 1.3 * fpr * 20_000
     assert bloom.probe(bloom.build(values, 0.1), spark.createDataFrame([], "value int"), 0.1).count() == 0
+
+
+def test_large_files_are_one_batch_and_batches_count_their_own_rows(spark, parts, monkeypatch):
+    index = index_of(spark, parts[:1], lambda i: (i.add_index("Id"), i.add_index("Version")))
+    assert index._batches(index.metadata, {"b": 300 << 20, "a": 300 << 20}) == [["a", "b"]]  # as batches go one after the other
+    assert byte_batches({"a": 5, "b": 6, "c": 1, "d": None, "e": 20}, 10) == [["a"], ["b", "c", "d"], ["e"]] and byte_batches({}, 1) == []
+    read = []
+    monkeypatch.setattr(build, "distinct_counts", lambda tables, count=build.distinct_counts: read.append({c: t.select("filename").distinct().count() for c, t in tables.items()}) or count(tables))
+    index.add_file(parts[1])
+    index.update()
+    assert read == [{"Id": 1, "Version": 1}]  # not the files that were indexed before
+    assert {r["Column"]: (r["FileCount"], r["MinValues"], r["MaxValues"]) for r in index.stats().collect()} == {"Id": (2, 3, 3), "Version": (2, 2, 3)}
