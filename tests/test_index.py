@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from fileprune import FileIndex, FileList, IndexCatalog, errors, join_index
 from fileprune.functions.schema import field_exists, field_type
-from fileprune.operators import build
+from fileprune.operators import build, locate
 from fileprune.plans.metadata import STORAGE_VERSION, IndexMetadata
 from fileprune.plans.planner import byte_batches, create_batches
 from fileprune.sources.lock import IndexLock
@@ -510,3 +510,11 @@ def test_large_files_are_one_batch_and_batches_count_their_own_rows(spark, parts
     index.update()
     assert read == [{"Id": 1, "Version": 1}]  # not the files that were indexed before
     assert {r["Column"]: (r["FileCount"], r["MinValues"], r["MaxValues"]) for r in index.stats().collect()} == {"Id": (2, 3, 3), "Version": (2, 2, 3)}
+
+
+def test_listed_values_are_broadcast(spark, parts):
+    index = index_of(spark, parts, lambda i: (i.add_index("Id"), i.add_index("Version")))
+    kind = T.IntegerType()
+    hinted = locate.literal_values(spark, [1, 2], kind)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in hinted  # whatever size Spark takes rows from the driver to have
+    assert names(index.locate_files({"Id": [4], "Version": [1]})) == {"part1.csv"}
