@@ -518,3 +518,20 @@ def test_listed_values_are_broadcast(spark, parts):
     hinted = locate.literal_values(spark, [1, 2], kind)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in hinted  # whatever size Spark takes rows from the driver to have
     assert names(index.locate_files({"Id": [4], "Version": [1]})) == {"part1.csv"}
+
+
+def test_values_that_find_every_file_leave_the_others_unasked(spark, parts, monkeypatch):
+    index = index_of(spark, parts, lambda i: (i.add_index("Id"), i.add_bloom_index("Version"), i.add_temporal_index("Value", "Value")))
+    monkeypatch.setattr(locate, "LARGE_BYTES", 0)
+    monkeypatch.setattr(locate, "FIRST_SHARE", 1)
+    asked = lambda ids: spark.createDataFrame([(i,) for i in ids], "Id int")
+    every = index.locate(asked([1, 7]))
+    assert "postings" not in every._jdf.queryExecution().optimizedPlan().toString() and not any("postings" in f for f in every.inputFiles())
+    assert names(index.locate_files(asked([1, 7]))) == {"part0.csv", "part1.csv"}
+    for ids, found in (([4], {"part1.csv"}), ([2], {"part0.csv"}), ([2, 4], {"part0.csv", "part1.csv"}), ([99], set()), ([], set())):
+        assert names(index.locate_files(asked(ids))) == found
+    monkeypatch.setattr(locate, "FIRST_SHARE", 1 << 40)  # the first values find nothing
+    assert names(index.locate_files(asked([4, 2]))) == {"part0.csv", "part1.csv"}
+    versions = spark.createDataFrame([(3,), (8,)], "Version int")
+    assert "part1.csv" in names(index.locate_files(versions))
+    assert names(index.locate_files(spark.createDataFrame([(9.0,)], "Value double"))) == {"part1.csv"}
