@@ -44,5 +44,19 @@ def test_sql_temporal_join_with_many_users(spark, tmp_path):
     assert got == wanted and len(got) == 3
 
 
+def test_shards_are_written_without_a_shuffle(spark, tmp_path):
+    """A file for each shard, of many tasks' rows and of more shards than a task writes at once; null has one too."""
+    source = spark.range(0, 3000, 1, 6).selectExpr("id", "cast(nullif(id % 40, 39) as int) AS _shard")
+    sc = spark.sparkContext
+    sc.setJobGroup("shards", "shards")
+    place = core._written(spark, source, str(tmp_path / "shards"))
+    stages = [i for job in sc.statusTracker().getJobIdsForGroup("shards") for i in sc.statusTracker().getJobInfo(job).stageIds]
+    assert stages and sum(sc._jsc.sc().statusStore().lastStageAttempt(i).shuffleWriteBytes() for i in stages) == 0
+    folders = [f for f in os.listdir(place) if f.startswith("_shard=")]
+    assert len(folders) == 40 and all(len([f for f in os.listdir(f"{place}/{d}") if f.endswith(".parquet")]) == 1 for d in folders)
+    back = spark.read.parquet(place)
+    assert back.exceptAll(source).isEmpty() and back.count() == 3000
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["o_custkey", "c_name", "n", "total"]
