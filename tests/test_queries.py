@@ -58,5 +58,16 @@ def test_shards_are_written_without_a_shuffle(spark, tmp_path):
     assert back.exceptAll(source).isEmpty() and back.count() == 3000
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_range_join_shuffles_no_lines(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        plan = core.range_join(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(key)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["o_custkey", "c_name", "n", "total"]
